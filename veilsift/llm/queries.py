@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from veilsift.llm import exact_dedup, mixing
+from veilsift.llm import bpe, chat, exact_dedup, mixing, quality, secrets
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_mix": mixing.op3_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
+    "op6_secrets": secrets.op6_secrets,
+    "op8_chat": chat.op8_chat,
 }
 
 ORACLE = {
     "op3_mix": mixing.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_quality": quality.OP5_SQL,
+    "op8_chat": chat.OP8_SQL,
 }
