@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilsift.llm import bpe, chat, exact_dedup, mixing, quality, secrets
+from veilsift.llm import bpe, chat, exact_dedup, jaccard, mixing, quality, secrets
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_secrets": secrets.op6_secrets,
     "op8_chat": chat.op8_chat,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLE = {
@@ -18,4 +19,5 @@ ORACLE = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_quality": quality.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op10_jaccard_join": jaccard.OP10_SQL,
 }
