@@ -56,36 +56,48 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
-    """The set of each text: sorted 64-bit hashes of its runs of words, all texts at once.
-
-    A run's hash comes from prefix sums over the bytes of the folded texts with single spaces, so no
-    run is ever built as a string. A text with fewer words is one run; without words its set is empty.
-    """
-    raws = [t.encode("utf-8", "surrogatepass").translate(FOLD) for t in texts]
-    data = np.frombuffer(b" ".join([*raws, b""]) if raws else b"", np.uint8)
-    ends_of = np.cumsum(np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws)))
+def _word_bounds(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of all folded texts with single spaces, where each word begins and ends in them, and words per text."""
+    data = np.frombuffer(b" ".join([*folded, b""]) if folded else b"", np.uint8)
+    ends_of = np.cumsum(np.fromiter((len(r) + 1 for r in folded), np.int64, len(folded)))
     inside = data != 32
     before = np.concatenate(([False], inside[:-1]))
     first = np.flatnonzero(inside & ~before)
     per_text = np.diff(np.concatenate(([0], np.searchsorted(first, ends_of))))
     kept = inside | before
-    data = data[kept]
-    inside = inside[kept]
+    data, inside = data[kept], inside[kept]
     begin = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1]))) if len(data) else np.zeros(0, np.int64)
     end = np.flatnonzero(~inside)
-    if len(end) < len(begin):
-        end = np.append(end, len(data))
     sums = np.concatenate((np.zeros(1, U64), np.cumsum(_byte_values()[data] * _powers(BASE, len(data)), dtype=U64)))
-    inverse = _powers(INVERSE, len(data))
+    return sums, begin, end, per_text
+
+
+def _hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches: equal stretches have equal sums once their place is divided out."""
+    return scramble((sums[end] - sums[begin]) * _powers(INVERSE, len(sums))[begin])
+
+
+def run_hashes(folded: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `words` words in folded texts, in order, and how many each text has."""
+    sums, begin, end, per_text = _word_bounds(folded)
+    if words == 1:
+        return _hashes(sums, begin, end), per_text
+    runs = np.maximum(per_text - words + 1, 0)
+    first = np.repeat(np.cumsum(per_text) - per_text - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+    return _hashes(sums, begin[first], end[first + words - 1]), runs
+
+
+def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
+    """The set of each text: sorted 64-bit hashes of its runs of words, all texts at once.
+
+    A run's hash comes from prefix sums over the bytes of the folded texts with single spaces, so no
+    run is ever built as a string. A text with fewer words is one run; without words its set is empty.
+    """
+    sums, begin, end, per_text = _word_bounds([t.encode("utf-8", "surrogatepass").translate(FOLD) for t in texts])
     out, at = [], 0
     for n in per_text.tolist():
-        if n == 0:
-            out.append(np.zeros(0, U64))
-            continue
         size = min(words, n)
-        a, b = begin[at : at + n - size + 1], end[at + size - 1 : at + n]
-        out.append(np.unique(scramble((sums[b] - sums[a]) * inverse[a])))
+        out.append(np.unique(_hashes(sums, begin[at : at + n - size + 1], end[at + size - 1 : at + n])) if n else np.zeros(0, U64))
         at += n
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilsift.llm import bpe, chat, exact_dedup, jaccard, mixing, quality, secrets
+from veilsift.llm import bpe, chat, exact_dedup, jaccard, mixing, ppm, quality, secrets
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_secrets": secrets.op6_secrets,
     "op8_chat": chat.op8_chat,
+    "op9_lm": ppm.op9_lm,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
