@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilsift.llm import bpe, chat, exact_dedup, jaccard, mixing, ppm, quality, secrets
+from veilsift.llm import bpe, chat, exact_dedup, jaccard, line_dedup, mixing, ppm, quality, secrets
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_mix": mixing.op3_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_mix": mixing.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_quality": quality.OP5_SQL,
