@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilsift.llm import bpe, chat, exact_dedup, jaccard, line_dedup, mixing, ppm, quality, secrets
+from veilsift.llm import bpe, chat, exact_dedup, jaccard, licenses, line_dedup, mixing, ppm, quality, secrets
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_secrets": secrets.op6_secrets,
+    "op7_licenses": licenses.op7_licenses,
     "op8_chat": chat.op8_chat,
     "op9_lm": ppm.op9_lm,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
@@ -21,6 +22,7 @@ ORACLE = {
     "op3_mix": mixing.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_quality": quality.OP5_SQL,
+    "op7_licenses": licenses.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
 }
