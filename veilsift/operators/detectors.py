@@ -33,23 +33,27 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{P._SPACE}]+|[{P._SPACE}]+\z", "")
 
 
+def let(use, **values: Column) -> Column:
+    """use(x) where x holds the values by name, each computed once however often use reads it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), use), F.lit(0))
+
+
 def snippets(text: Column, pattern: str, before: int, after: int, most: int) -> Column:
     """What surrounds each match, on one line. There are no match offsets: matches and the gaps between them add up to them."""
+    size = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + F.length(x))
 
-    def cut(pieces: Column) -> Column:
-        matches, gaps = pieces["m"], pieces["g"]
-        size = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + F.length(x))
-
+    def cut(x: Column) -> Column:
         def one(match: Column, i: Column) -> Column:
-            start = size(gaps, i + 1) + size(matches, i)
-            begin = F.greatest(start - before, F.lit(0))
-            part = F.substring(text, begin + 1, start + F.length(match) + after - begin)
-            return F.left(strip(F.replace(part, F.lit("\n"), F.lit(" "))), F.lit(most))
+            start = size(x["g"], i + 1) + size(x["m"], i)
+            spot = let(lambda s: F.substring(x["t"], F.greatest(s["at"] - before, F.lit(0)) + 1, s["at"] + F.length(match) + after - F.greatest(s["at"] - before, F.lit(0))), at=start)
+            return F.left(strip(F.replace(spot, F.lit("\n"), F.lit(" "))), F.lit(most))
 
-        return F.transform(matches, one)
+        return F.transform(x["m"], one)
 
-    pieces = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("g")))
-    return F.when(text.rlike(pattern), F.flatten(F.transform(pieces, cut))).otherwise(F.array().cast("array<string>"))
+    def found(x: Column) -> Column:
+        return let(cut, t=x["t"], m=F.regexp_extract_all(x["t"], F.lit(pattern), 0), g=F.split(x["t"], pattern, -1))
+
+    return let(lambda x: F.when(x["t"].rlike(pattern), found(x)).otherwise(F.array().cast("array<string>")), t=text)
 
 
 def from_tokens(tokens: Column) -> Column:
@@ -85,11 +89,10 @@ def invisible(html: Column) -> Column:
     printable = F.regexp_replace(U.decode_selectors(F.when(n_selector >= 4, html)), r"[^\x20-\x7e]", "")
     high_if = lambda c: F.when(c, "high").otherwise("medium")
     quoted = lambda head, n, what, most: F.left(F.concat(n.cast("string") if n is not None else F.lit(""), F.lit(head), F.left(what, F.lit(most)), F.lit("'")), F.lit(200))
-    lines = F.split(html, U.LINE_ENDS)
-    mixed = F.filter(lines, lambda x: x.rlike("[A-Za-z]") & x.rlike(U.class_of(*U._spans().values())))
-    line = F.try_element_at(mixed, F.lit(1))
-    scripts = F.array_join(F.transform(U.scripts_in(line), lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", ")
-    return F.concat(
+    other = U.class_of(*U._spans().values())
+    mixed = F.filter(F.split(F.when(html.rlike(other), html), U.LINE_ENDS), lambda x: x.rlike(other) & x.rlike("[A-Za-z]"))
+    scripts = lambda line: F.array_join(F.transform(U.scripts_in(line), lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", ")
+    every = F.concat(
         only_if(n_zero > 0, finding(2, "zero_width", quoted(" zero-width chars; decoded='", n_zero, bits, 120), high_if(P.is_keyword(bits)), "very_high")),
         only_if(n_bidi > 0, finding(2, "bidi_control", F.concat(n_bidi.cast("string"), F.lit(" bidi control chars present")), "high", "high")),
         only_if(n_tag > 0, finding(2, "unicode_tag_block", quoted("decoded='", None, tags, 200), high_if(tags != ""), "very_high")),
@@ -97,11 +100,16 @@ def invisible(html: Column) -> Column:
             F.coalesce((n_selector >= 4) & (F.length(printable) >= 4), F.lit(False)),
             finding(2, "variation_selector", quoted(" variation selectors; decoded='", n_selector, printable, 160), high_if(P.is_keyword(printable)), "high"),
         ),
-        only_if(
-            line.isNotNull(),
-            finding(2, "mixed_script", F.left(F.concat(F.lit("scripts=["), scripts, F.lit("] line='"), F.left(strip(line), F.lit(80)), F.lit("'")), F.lit(200)), "medium", "high"),
+        F.coalesce(
+            F.transform(
+                F.slice(mixed, 1, 1),
+                lambda line: finding(2, "mixed_script", F.left(F.concat(F.lit("scripts=["), scripts(line), F.lit("] line='"), F.left(strip(line), F.lit(80)), F.lit("'")), F.lit(200)), "medium", "high"),
+            ),
+            nothing(),
         ),
     )
+    # All of these lie beyond the Latin letters; a text without any such character is done after one look.
+    return F.when(html.rlike(U.BEYOND_LATIN), every).otherwise(nothing())
 
 
 def phrases(stage: int, vector: str, text: Column, pattern: str, before: int, after: int, most: int, severity: str, confidence: str) -> Column:
@@ -166,7 +174,7 @@ def stages(html: Column, page: Column) -> list[Column]:
         listed(6, "meta_tag", page["metas"], "medium", "medium"),
         encoded("base64_payload", html, P.jvm(P.BASE64, ignore_case=False), from_base64),
         encoded("hex_payload", plain, P.jvm(P.HEX_PAIRS, ignore_case=False), from_hex),
-        F.when(folded != page["unescaped"], phrases(8, "homoglyph_keyword", folded, P.KEYWORD_JVM, 30, 30, 200, "medium", "medium")).otherwise(nothing()),
+        let(lambda x: F.when(x["f"] != page["unescaped"], phrases(8, "homoglyph_keyword", x["f"], P.KEYWORD_JVM, 30, 30, 200, "medium", "medium")).otherwise(nothing()), f=folded),
         listed(9, "json_ld", page["linked"], "high", "high"),
     ]
 

@@ -42,18 +42,25 @@ def _quoted(text: Column) -> Column:
 
 def ingestion_diff(human: Column, machine: Column) -> Column:
     """Findings for segments that a machine reads and a person doesn't see, each once."""
-    seen = normal(human)
-    keyed = F.transform(segments(machine), lambda s: F.struct(normal(s).alias("k"), s.alias("s")))
-    hidden = F.filter(keyed, lambda x: (x["k"] != "") & (F.instr(seen, x["k"]) == 0))
-    keys = F.transform(hidden, lambda x: x["k"])
-    once = F.filter(hidden, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
     text = lambda s: F.concat(F.lit("present for extractor, absent for human: "), _quoted(F.left(s, F.lit(160))))
 
     def one(x: Column) -> Column:
         level = F.when(P.is_instruction(x["s"]), "high").otherwise("low")
         return D.finding(1, "ingestion_diff", text(x["s"]), level, level)
 
-    return F.transform(once, one)
+    def hidden(x: Column) -> Column:
+        keyed = F.transform(x["parts"], lambda s: F.struct(normal(s).alias("k"), s.alias("s")))
+        return F.filter(keyed, lambda p: (p["k"] != "") & (F.instr(x["seen"], p["k"]) == 0))
+
+    def once(x: Column) -> Column:
+        """By key and place, the first of each key; then by place again."""
+        fresh = F.filter(x["h"], lambda p, i: (i == 0) | (p["k"] != F.get(x["h"], i - 1)["k"]))
+        return F.transform(F.array_sort(F.transform(fresh, lambda p: F.struct(p["i"], p["s"].alias("s")))), one)
+
+    def placed(x: Column) -> Column:
+        return F.array_sort(F.transform(hidden(x), lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["s"].alias("s"))))
+
+    return D.let(lambda x: D.let(once, h=placed(x)), seen=normal(human), parts=segments(machine))
 
 
 def diff_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
@@ -80,12 +87,12 @@ def sanitize(df: DataFrame, html_col: str = "html") -> DataFrame:
     said = lambda t: F.left(F.when(t["kind"] == "form", F.concat(t["name"], F.lit("="), t["text"])).otherwise(t["text"]), F.lit(200))
     hidden = F.transform(hidden, lambda x: F.struct(reason(x["t"]).alias("reason"), said(x["t"]).alias("text")))
     note = F.when(F.col("_bare") != page["visible"], F.array(F.struct(F.lit("invisible_unicode").alias("reason"), F.lit(INVISIBLE_NOTE).alias("text")))).otherwise(F.array().cast(REMOVED))
-    parts = sentences(F.col("_folded"))
-    commands = F.transform(F.filter(parts, P.is_instruction), lambda s: F.struct(F.lit("stripped_instruction").alias("reason"), F.left(D.strip(s), F.lit(200)).alias("text")))
-    kept = F.array_join(F.filter(parts, lambda s: ~P.is_instruction(s)), "")
+    out = out.withColumn("_parts", F.transform(sentences(F.col("_folded")), lambda s: F.struct(s.alias("s"), P.is_instruction(s).alias("bad"))))
+    commands = F.transform(F.filter("_parts", lambda p: p["bad"]), lambda p: F.struct(F.lit("stripped_instruction").alias("reason"), F.left(D.strip(p["s"]), F.lit(200)).alias("text")))
+    kept = F.array_join(F.transform(F.filter("_parts", lambda p: ~p["bad"]), lambda p: p["s"]), "")
     out = out.withColumn("removed", F.concat(hidden, note, commands)).withColumn("cleaned_text", D.strip(F.regexp_replace(kept, rf"[{P._SPACE}]+", " ")))
     out = out.withColumn("safe_prompt", F.concat(F.lit(FRAME_HEAD), F.col("cleaned_text"), F.lit(FRAME_TAIL)))
-    return out.drop("_html", "_page", "_bare", "_folded", "findings", "top_finding", "n_findings")
+    return out.drop("_html", "_page", "_bare", "_folded", "_parts", "findings", "top_finding", "n_findings")
 
 
 # ---- a simulated agent: it records what it would do and does nothing
