@@ -77,28 +77,48 @@ def _hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return scramble((sums[end] - sums[begin]) * _powers(INVERSE, len(sums))[begin])
 
 
-def run_hashes(folded: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `words` words in folded texts, in order, and how many each text has."""
-    sums, begin, end, per_text = _word_bounds(folded)
-    if words == 1:
-        return _hashes(sums, begin, end), per_text
-    runs = np.maximum(per_text - words + 1, 0)
-    first = np.repeat(np.cumsum(per_text) - per_text - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
-    return _hashes(sums, begin[first], end[first + words - 1]), runs
+#: Bytes of text hashed at once; the prefix sums of these take eight times as much, a few times over.
+HASHED_BYTES = 2 << 20
+
+
+def portions(folded: list[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive texts of bounded size together, one text at least."""
+    part: list[bytes] = []
+    size = 0
+    for t in folded:
+        if part and size + len(t) > HASHED_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def word_hashes(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of folded texts, in order, and how many each text has."""
+    hashes, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for part in portions(folded):
+        sums, begin, end, per_text = _word_bounds(part)
+        hashes.append(_hashes(sums, begin, end))
+        counts.append(per_text)
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
-    """The set of each text: sorted 64-bit hashes of its runs of words, all texts at once.
+    """The set of each text: sorted 64-bit hashes of its runs of words, many texts at once.
 
     A run's hash comes from prefix sums over the bytes of the folded texts with single spaces, so no
     run is ever built as a string. A text with fewer words is one run; without words its set is empty.
     """
-    sums, begin, end, per_text = _word_bounds([t.encode("utf-8", "surrogatepass").translate(FOLD) for t in texts])
-    out, at = [], 0
-    for n in per_text.tolist():
-        size = min(words, n)
-        out.append(np.unique(_hashes(sums, begin[at : at + n - size + 1], end[at + size - 1 : at + n])) if n else np.zeros(0, U64))
-        at += n
+    out = []
+    for part in portions([t.encode("utf-8", "surrogatepass").translate(FOLD) for t in texts]):
+        sums, begin, end, per_text = _word_bounds(part)
+        at = 0
+        for n in per_text.tolist():
+            size = min(words, n)
+            out.append(np.unique(_hashes(sums, begin[at : at + n - size + 1], end[at + size - 1 : at + n])) if n else np.zeros(0, U64))
+            at += n
     return out
 
 
@@ -132,54 +152,60 @@ class Bands:
         return union * (self.den - self.num) // self.den
 
     @lru_cache(maxsize=1000)  # noqa: B019 - a handful of instances a worker
-    def spare(self, b: int, parts: int, spoiled: int) -> int:
-        """Partitions beyond the least number, so that even the smallest sets that take part in band b
-        can expect to leave no more partitions than these with an empty subset."""
+    def partitions(self, b: int, parts: int, spoiled: int) -> int:
+        """How many partitions let even the smallest sets that take part in band b expect enough that are not empty."""
         least = self.differ(b) // (spoiled + 1) + 1
         n = self.low[b] * self.num / self.den
-        best = (math.inf, 0)
-        for spare in range(0, least + 1, 1 + least // 200):
-            n1 = least + spare
-            empty = math.exp(-n * (parts - spoiled) / (n1 * parts))
-            over = n1 * (1 - (1 - empty) ** math.comb(parts, spoiled)) - spare - 0.5
-            if over <= 0:
-                return spare
-            best = min(best, (over, spare))
+        best = (-math.inf, least)
+        for n1 in range(least, 2 * least + 1, 1 + least // 200):
+            full = 1 - math.exp(-n * (parts - spoiled) / (n1 * parts))
+            over = n1 * full ** math.comb(parts, spoiled) - least if spoiled < parts - 1 else (n1 * parts * full - self.differ(b) - 1) / parts
+            if over >= 0.5:
+                return n1
+            best = max(best, (over, n1))
         return best[1]
 
 
-def signatures(s: np.ndarray, bands: Bands, parts: int = 2, spoiled: int = 1) -> np.ndarray:
-    """The signatures of a set.
+#: The cuts of the domain that look for telling parts, each into half as many more partitions, and those that take any.
+TELLING_TURNS, ANY_TURNS = 6, 64
+
+
+def signatures(s: np.ndarray, bands: Bands, common: np.ndarray | None = None, parts: int = 2, spoiled: int = 1) -> np.ndarray:
+    """The signatures of a set. common: elements, sorted, that so many sets have that they tell little.
 
     In a band where sets differ in up to k elements, the domain is cut into n1 partitions and each
-    into `parts` smaller ones. n1 exceeds k // (spoiled + 1) by 1 + spare, so in at least 1 + spare
-    partitions two similar sets differ in at most `spoiled` of the smaller parts, and agree on one of the
-    subsets of parts - spoiled of them; each subset is a signature. An empty subset says nothing and is left
-    out. That is safe while fewer than 1 + spare partitions have one; a set with more
-    takes a further round with the domain cut anew, as the other set of any pair at risk does too.
+    into `parts` smaller ones. In more than n1 - 1 - k // (spoiled + 1) partitions two similar sets differ in at most
+    `spoiled` of the smaller parts, and agree on one of the subsets of parts - spoiled of them: each subset is a
+    signature. One without a telling element, be it empty or of common ones, is left out. That is safe for a set with
+    more than k // (spoiled + 1) partitions whose subsets all tell (or, where subsets are single parts,
+    with more than k parts that do): some of these no difference touches. A set with fewer takes further turns, with the
+    domain cut anew and finer; a pair is found in the turn in which the first of its two sets stops, as both took
+    it. Sets that never stop, because common elements are almost all they have, end with turns in which every element tells.
     """
     out = []
     subsets = list(itertools.combinations(range(parts), parts - spoiled))
+    tells = np.ones(len(s), bool)
+    if common is not None and len(common) and len(s):
+        tells = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s
     for b in bands.instances(len(s)):
         k = bands.differ(b)
         if k == 0:
             continue  # similar sets of this band are equal, and equal sets are one class already
-        spare = bands.spare(b, parts, spoiled)
-        n1 = k // (spoiled + 1) + 1 + spare
-        for turn in range(64):
-            salt = b * 64 + turn + 1
+        first = bands.partitions(b, parts, spoiled)
+        for turn in range(TELLING_TURNS + ANY_TURNS):
+            n1 = int(first * 1.5**turn) if turn < TELLING_TURNS else first
+            counted = tells if turn < TELLING_TURNS else slice(None)
+            salt = b * 128 + turn + 1
             place = (scramble(s, salt) % U64(n1 * parts)).astype(np.int64)
             content = np.zeros(n1 * parts, U64)
             np.add.at(content, place, scramble(s, 0))
-            count = np.bincount(place, minlength=n1 * parts).reshape(n1, parts)
+            count = np.bincount(place[counted], minlength=n1 * parts).reshape(n1, parts)
             content = content.reshape(n1, parts)
-            weak = np.zeros(n1, bool)
+            full = np.stack([count[:, subset].sum(1) > 0 for subset in subsets], 1)
             for i, subset in enumerate(subsets):
-                full = count[:, subset].sum(1) > 0
-                weak |= ~full
                 tag = (np.arange(n1, dtype=U64) * U64(len(subsets)) + U64(i)) * U64(BASE) + U64(salt)
-                out.append(scramble(content[:, subset].sum(1, dtype=U64) ^ scramble(tag, 3), 5)[full])
-            if weak.sum() <= spare:
+                out.append(scramble(content[:, subset].sum(1, dtype=U64) ^ scramble(tag, 3), 5)[full[:, i]])
+            if (full.sum() > k) if spoiled == parts - 1 else (full.all(1).sum() > k // (spoiled + 1)):
                 break
         else:
             raise RuntimeError("no cut of the domain fills enough parts")
@@ -191,7 +217,7 @@ SENT = "pid int, classes binary, which binary, keys binary"
 FOUND = "gid long, a binary, b binary"
 
 
-def _send(n_pids: int, words: int, num: int, den: int):
+def _send(n_pids: int, words: int, num: int, den: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for whole in batches:
@@ -201,7 +227,7 @@ def _send(n_pids: int, words: int, num: int, den: int):
                     if len(s):
                         sets.setdefault(digest(s), s)
                 names = list(sets)
-                per = [signatures(s, bands) for s in sets.values()]
+                per = [signatures(s, bands, common) for s in sets.values()]
                 if not sum(map(len, per)):
                     continue
                 sig = np.concatenate(per)
@@ -266,23 +292,73 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"gid": gid, "a": pa.array(raw(leader[rows]), pa.binary()), "b": pa.array(raw(rows), pa.binary())})
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of about 2n places that tells whether an odd number of a set's elements fall there. Places
+    that two sketches tell apart are no more than elements in which the sets differ."""
+    places = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & U64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def lanes(s: np.ndarray) -> list[int]:
+    """A sketch of 512 places as eight integers, for comparing within a join."""
+    bits = (np.bincount((s & U64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound on how many elements two sets differ in, from their sketches."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, n_shingles and the class of each row's set (null if empty)."""
+    """id, n_shingles, the class of each row's set and its sketch (null if empty); at the first row of a batch, the elements
+    that at least OFTEN different sets of the batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, rows=20_000):
                 sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())], names=["_id", "n_shingles", "class"]
-                )
+                names = [digest(s) for s in sets]
+                once = {n: s for n, s in zip(names, sets, strict=True) if n}
+                element, n = np.unique(np.concatenate([*once.values(), np.zeros(0, U64)]), return_counts=True)
+                shared = [element[n >= OFTEN].astype("<u8").tobytes(), *[None] * (len(sets) - 1)]
+                named = [pa.array(x, pa.binary()) for x in (names, [sketch(s) if len(s) else None for s in sets], shared)]
+                named.append(pa.array([lanes(s) for s in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *named], names=["_id", "n_shingles", "class", "sketch", "common", "lanes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_shingles long, class binary")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_shingles long, class binary, sketch binary, common binary, lanes array<long>")
+
+
+#: An element is common if so many different sets of one batch have it. At most MOST_COMMON are known, in as many
+#: times 8 bytes: which ones they are bears on how many candidates there are, not on what is found.
+OFTEN, MOST_COMMON = 3, 1 << 17
+
+
+def common_elements(sets: DataFrame) -> np.ndarray:
+    """The elements that are common in most batches, sorted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8"))], names=["element"])
+
+    counted = sets.where("common IS NOT NULL").select("common").mapInArrow(run, "element long").groupBy("element").count()
+    rows = counted.orderBy(F.col("count").desc(), "element").limit(MOST_COMMON).select("element").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).astype(U64))
+
+
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """A text of each of the classes."""
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """A text of each class in pairs."""
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -290,13 +366,30 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, classes
                 own = [digest(s) for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)]
                 yield batch.filter(pa.array([a == b for a, b in zip(own, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
 
-    chosen = sets.join(classes, "class", "left_semi").groupBy("class").agg(F.min("_id").alias("_id")).where("_id IS NOT NULL")
+    chosen = classes.select("class", F.col("own").alias("_id")).where("own IS NOT NULL").join(_classes_of(pairs), "class", "left_semi")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("class", "_text")
     return texts.mapInArrow(right, "class binary, _text string").dropDuplicates(["class"])
 
 
+BOUNDED = "a binary, b binary, n_a long, n_b long, differ long"
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs with the sizes of their sets and the least that these can differ in, from sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = [least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(differ, pa.int64())], names=["a", "b", "n_a", "n_b", "differ"])
+
+    own = classes.select("class", "n_shingles", "sketch").join(_classes_of(pairs), "class", "left_semi")
+    wide = pairs.join(own.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("x")), "a")
+    wide = wide.join(own.select(F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("y")), "b")
+    return wide.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, BOUNDED)
+
+
 def _check(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) with the sizes of their sets and of what they share."""
+    """Pairs (a, b) with in how many elements their sets differ, on whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -310,12 +403,12 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 rows = []
                 for x, y in zip(left, right, strict=True):
                     p, q = sets[at_text[x]], sets[at_text[y]]
-                    rows.append((len(p), len(q), len(p) + len(q) - len(np.union1d(p, q))))
+                    rows.append((len(p), len(q), 2 * len(np.union1d(p, q)) - len(p) - len(q)))
                 shared = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *shared], names=["a", "b", "n_a", "n_b", "shared"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *shared], names=["a", "b", "n_a", "n_b", "differ"])
 
     wide = pairs.join(texts.select(F.col("class").alias("a"), F.col("_text").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("_text").alias("y")), "b")
-    return wide.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, n_a long, n_b long, shared long")
+    return wide.select("a", "b", "x", "y").mapInArrow(run, BOUNDED)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -324,52 +417,66 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Documents link when den * |intersection| >= num * |union| for their sets of runs of `words` words (whole
     texts, A-Z lower-cased). Sets are held as 64-bit hashes of runs and named by 128-bit digests.
 
-    1. Equal sets become one class, so exact copies cost one set a batch, not one a copy.
+    1. Equal sets become one class, so exact copies cost one set a batch, not one a copy. Elements that many sets of
+       a batch have (shared passages) are noted: a signature without any other element is made only for sets that have few others.
     2. Signatures go to their pid packed in byte strings of some thousands, sorted there and paired:
        each group of classes that share one gives pairs with its least class only, never all pairs.
-    3. These pairs are checked on whole sets, and links joined to components.
+    3. A sketch of each set bounds from below in how much two sets differ; pairs that it lets pass are
+       checked on whole texts, and links joined to components.
     4. Within a group whose classes are in different components by now, the other pairs between those
-       components are checked as well, except where the triangle inequality of Jaccard distance to
-       the least class already rules a link out. Then components are final, and no link between them is missing.
+       components are checked as well, except where a sketch, or the triangle inequality of Jaccard distance to
+       the least class, already rules a link out within the join. Then components are final, and no link between them is missing.
 
     A text without words (null, empty, white space) has no shingles and is its own component. Rows without id
     take the component of their equals and name no component themselves; repeated rows are equals.
     An empty table gives an empty table; other columns are ignored.
     """
-    spark = docs.sparkSession
-    pids = shuffle_partitions(spark)
+    pids = shuffle_partitions(docs.sparkSession)
     sets = materialize(sets_of(docs, id_col, text_col, words), "sets")
-    sent = docs.select(F.col(text_col).alias("_text")).mapInArrow(_send(pids, words, num, den), SENT)
+    classes = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("lanes").alias("lanes"))
+    classes = materialize(classes, "classes")
+    sent = docs.select(F.col(text_col).alias("_text")).mapInArrow(_send(pids, words, num, den, common_elements(sets)), SENT)
     found = materialize(sent.groupBy("pid").applyInArrow(_meet, FOUND), "candidates")
+    linked = F.col("differ") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+
+    def links_among(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links among pairs, and for all pairs the range in which the Jaccard distance lies."""
+        bounded = materialize(_bounded(pairs, classes), "bounded")
+        likely = bounded.where(linked).select("a", "b")
+        texts = materialize(_texts(docs, id_col, text_col, classes, likely, words), "texts")
+        exact = materialize(_check(likely, texts, words), "checked")
+        distance = 2 * F.col("differ") / (F.col("n_a") + F.col("n_b") + F.col("differ"))
+        least = bounded.where(~linked).select("a", "b", distance.alias("least"), F.lit(1.0).alias("most"))
+        return exact.where(linked).select("a", "b"), least.unionByName(exact.select("a", "b", distance.alias("least"), distance.alias("most")))
+
     pairs = found.select("a", "b").distinct()
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = materialize(_texts(docs, id_col, text_col, sets, classes, words), "texts")
-    checked = materialize(_check(pairs, texts, words), "checked")
-    linked = F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num
-    links = checked.where(linked).select("a", "b")
+    links, ranges = links_among(pairs)
     settled = components(links)
 
-    far = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     groups = found.where("gid IS NOT NULL").distinct()
-    members = groups.join(checked.select("a", "b", far.alias("far")), ["a", "b"]).select("gid", F.col("b").alias("node"), "far")
-    members = members.unionByName(groups.select("gid", F.col("a").alias("node"), F.lit(0.0).alias("far")).distinct())
-    placed = members.join(settled, "node", "left").select("gid", "node", "far", F.coalesce("comp", "node").alias("comp"))
+    members = groups.join(ranges, ["a", "b"]).select("gid", F.col("b").alias("node"), "least", "most")
+    members = members.unionByName(groups.select("gid", F.col("a").alias("node"), F.lit(0.0).alias("least"), F.lit(0.0).alias("most")).distinct())
+    placed = members.join(settled, "node", "left").select("gid", "node", "least", "most", F.coalesce("comp", "node").alias("comp"))
     split = placed.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gid")
-    open_ = materialize(placed.join(split, "gid", "left_semi"), "open")
-    p = open_.select("gid", F.col("node").alias("a"), F.col("far").alias("far_a"), F.col("comp").alias("comp_a"))
-    q = open_.select("gid", F.col("node").alias("b"), F.col("far").alias("far_b"), F.col("comp").alias("comp_b"))
+    eight = [F.element_at("lanes", i + 1).alias(f"lane{i}") for i in range(8)]
+    own = classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), *eight)
+    open_ = materialize(placed.join(split, "gid", "left_semi").join(own, "node"), "open")
+    p, q = (open_.select("gid", *[F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "gid"]) for side in "ab")
     reach = (den - num) / den + 1e-9
-    rest = p.join(q, "gid").where((F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= reach))
-    rest = rest.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(_check(rest, texts, words).where(linked).select("a", "b"), "more")
+    near = (F.col("least_a") - F.col("most_b") <= reach) & (F.col("least_b") - F.col("most_a") <= reach)
+    apart = sum((F.bit_count(F.col(f"lane{i}_a").bitwiseXOR(F.col(f"lane{i}_b"))) for i in range(8)), F.lit(0))
+    near &= apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    rest = p.join(q, "gid").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & near)
+    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more, _ = links_among(materialize(rest, "rest"))
     if more.take(1):
         settled = components(links.unionByName(more))
 
-    least = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("own"))
+    least = classes.select("class", "own")
     joined = settled.join(least, settled["node"] == least["class"]).select("class", "comp", "own")
     roots = joined.groupBy("comp").agg(F.min("own").alias("root"))
     named = joined.join(roots, "comp").select("class", "root")
-    by_class = materialize(least.join(named, "class", "left").select("class", F.coalesce("root", "own").alias("component_id")), "classes")
+    by_class = materialize(least.join(named, "class", "left").select("class", F.coalesce("root", "own").alias("component_id")), "components")
     return sets.join(by_class, "class", "left").select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("_id"))).alias("component_id"))
 
 
