@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilsift.llm.common import documents, materialize, shuffle_partitions
-from veilsift.llm.jaccard import FOLD, run_hashes, scramble
+from veilsift.llm.jaccard import FOLD, portions, scramble, word_hashes
 
 U64 = np.uint64
 #: Bytes of context of the longest prediction. With one more byte, a path of the trie is five bytes.
 ORDER = 4
 #: Before the first byte of a text and after its last: a byte that UTF-8 never has.
 EDGE = b"\xff"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 TERMS = "kind string, pid long, block long, keys binary, counts binary, tokens long"
 REPLIES = "kind string, pid long, block long, reply binary, distinct long"
@@ -38,29 +38,40 @@ def held_out(id_col: Column, modulus: int = 7, remainder: int = 2) -> Column:
 
 def paths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The trie's paths that texts take: for every byte and every end, the number of its path; the
-    distinct paths (ORDER + 1 bytes as one integer); and how many bytes each text has, with its end.
+    distinct paths (ORDER + 1 bytes as one integer), sorted; and how many bytes each text has, with its end."""
+    parts = [_paths(p) for p in portions(texts)]
+    path = np.unique(np.concatenate([np.zeros(0, np.int64), *(p for _, p, _ in parts)]))
+    node = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(path, p).astype(np.int32)[n] for n, p, _ in parts)])
+    return node, path, np.concatenate([np.zeros(0, np.int64), *(n for _, _, n in parts)])
 
-    The trie grows a level at a time for all places together: a node and the next byte give the next node.
-    """
+
+def _paths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """paths() of some megabytes, unsorted. The trie grows a level at a time for all places together: a node and the
+    next byte give the next node."""
     data = np.frombuffer(b"".join(EDGE * ORDER + t + EDGE for t in texts), np.uint8)
     length = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    if not len(texts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), length
+    places = np.ones(len(data), bool)
     begins = np.cumsum(length + ORDER) - length - ORDER
-    place = np.arange(int(length.sum())) + np.repeat(begins - (np.cumsum(length) - length), length)
+    places[((begins + length)[:, None] + np.arange(ORDER)).ravel()] = False
+    place = np.flatnonzero(places).astype(np.int32 if len(data) < 2**31 else np.int64)
     present = np.flatnonzero(np.bincount(data, minlength=256))
-    symbol = np.zeros(256, np.int64)
+    symbol = np.zeros(256, np.uint8)
     symbol[present] = np.arange(len(present))
     symbols = symbol[data]
-    node, path, wide = symbols[place], present.astype(np.int64), len(present)
+    node, path, wide = symbols[place].astype(np.int32), present.astype(np.int64), len(present)
     for k in range(1, ORDER + 1):
-        code = node * wide + symbols[place + k]
-        if len(path) * wide <= 2 * len(code) + (1 << 20):
-            seen = np.bincount(code, minlength=len(path) * wide) > 0
+        size = len(path) * wide
+        code = node.astype(np.int32 if size < 2**31 else np.int64)
+        code *= wide
+        code += symbols[k:][place]
+        if size <= 2 * len(code) + (1 << 20):
+            seen = np.zeros(size, bool)
+            seen[code] = True
             found = np.flatnonzero(seen)
-            node = (np.cumsum(seen) - 1)[code]
+            node = (np.cumsum(seen, dtype=np.int32) - 1)[code]
         else:
             found, node = np.unique(code, return_inverse=True)
+            node = node.astype(np.int32)
         path = path[found // wide] << 8 | present[found % wide]
     return node, path, length
 
@@ -74,14 +85,16 @@ def _block_terms(texts: list[bytes], train: np.ndarray) -> dict[str, tuple[np.nd
     """Of a block: the sorted keys of its paths and words, in that order what each stands for, how often training
     texts have it, and for every place in the texts the number of its key."""
     node, path, length = paths(texts)
-    count = np.bincount(node, weights=np.repeat(train, length).astype(float), minlength=len(path)).astype(np.int64)
+    count, learned = np.zeros(len(path), np.int64), np.repeat(train, length)
+    for a in range(0, len(node), 1 << 20):
+        count += np.bincount(node[a : a + (1 << 20)][learned[a : a + (1 << 20)]], minlength=len(path))
     key = scramble(path.astype(U64))
     order = np.argsort(key)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
-    hashes, words = run_hashes([t.translate(FOLD) for t in texts], 1)
+    hashes, words = word_hashes([t.translate(FOLD) for t in texts])
     distinct, which = np.unique(hashes, return_inverse=True)
-    seen = np.bincount(which, weights=np.repeat(train, words).astype(float), minlength=len(distinct)).astype(np.int64)
+    seen = np.bincount(which[np.repeat(train, words)], minlength=len(distinct))
     return {"path": (key[order], path[order], count[order], rank[node], length), "word": (distinct, distinct, seen, which, words)}
 
 
@@ -250,15 +263,15 @@ def _score(docs: pa.Table, replies: pa.Table, schema: pa.Schema) -> pa.Table:
     totals = np.concatenate([_unpack(r) for _, r in sorted(got["word"])]) if got["word"] else np.zeros(0, np.int64)
     _, _, _, place, length = terms["path"]
     _, _, _, which, words = terms["word"]
-    by_text = lambda v, n: np.bincount(np.repeat(np.arange(len(n)), n), weights=v, minlength=len(n))
+    sums = lambda values, at, n: np.array([values[at[b - k : b]].sum() for b, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)])
     return pa.table(
         {
             "_id": docs["_id"],
             "_held": docs["_held"],
             "n_words": pa.array(words),
-            "known_words": pa.array(by_text((totals > 0)[which].astype(float), words).astype(np.int64)),
-            "word_logs": pa.array(by_text(np.log10(totals + 1.0)[which], words)),
-            "byte_logs": pa.array(by_text(logs[place], length)),
+            "known_words": pa.array(sums((totals > 0).astype(np.int64), which, words)),
+            "word_logs": pa.array(sums(np.log10(totals + 1.0), which, words)),
+            "byte_logs": pa.array(sums(logs, place, length)),
         }
     ).cast(schema)
 
