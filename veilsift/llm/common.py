@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
     def forget() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone by then
-            pass
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            _delete(spark, path)
 
     atexit.register(forget)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps neither recompute it nor lose it
     with an executor. The table goes when the program ends."""
@@ -55,7 +58,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/veilsift-{name}-{uuid.uuid4().hex}"
     _forget_at_exit(spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = weakref.ref(out), path
+    return out
+
+
+#: Where tables that materialize gave lie.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize gave, once nothing that is still to run reads them."""
+    for table in tables:
+        ref, path = _PATHS.pop(id(table), (None, ""))
+        if ref is not None and ref() is table:
+            _delete(table.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import materialize
+from veilsift.llm.common import discard, materialize
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     state = _state(edges)
     for _ in range(most_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        older, edges = edges, materialize(_small_star(_large_star(edges)), "links")
+        discard(older)
         before, state = state, _state(edges)
         if before == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import documents, materialize, shuffle_partitions
+from veilsift.llm.common import discard, documents, materialize, shuffle_partitions
 from veilsift.llm.components import components
 from veilsift.llm.quality import slices
 
@@ -432,6 +432,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     An empty table gives an empty table; other columns are ignored.
     """
     pids = shuffle_partitions(docs.sparkSession)
+    used: list[DataFrame] = []
     sets = materialize(sets_of(docs, id_col, text_col, words), "sets")
     classes = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("lanes").alias("lanes"))
     classes = materialize(classes, "classes")
@@ -445,6 +446,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         likely = bounded.where(linked).select("a", "b")
         texts = materialize(_texts(docs, id_col, text_col, classes, likely, words), "texts")
         exact = materialize(_check(likely, texts, words), "checked")
+        discard(texts)
+        used.extend((bounded, exact))
         distance = 2 * F.col("differ") / (F.col("n_a") + F.col("n_b") + F.col("differ"))
         least = bounded.where(~linked).select("a", "b", distance.alias("least"), F.lit(1.0).alias("most"))
         return exact.where(linked).select("a", "b"), least.unionByName(exact.select("a", "b", distance.alias("least"), distance.alias("most")))
@@ -468,7 +471,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near &= apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
     rest = p.join(q, "gid").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & near)
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more, _ = links_among(materialize(rest, "rest"))
+    used.append(rest := materialize(rest, "rest"))
+    more, _ = links_among(rest)
     if more.take(1):
         settled = components(links.unionByName(more))
 
@@ -477,6 +481,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = joined.groupBy("comp").agg(F.min("own").alias("root"))
     named = joined.join(roots, "comp").select("class", "root")
     by_class = materialize(least.join(named, "class", "left").select("class", F.coalesce("root", "own").alias("component_id")), "components")
+    discard(*used, classes, found, open_)
     return sets.join(by_class, "class", "left").select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("_id"))).alias("component_id"))
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import documents, materialize
+from veilsift.llm.common import discard, documents, materialize
 from veilsift.llm.quality import slices
 
 #: A run of fewer words is no passage; it may come again in any text.
@@ -77,7 +77,8 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     kind = rows.schema["_id"].dataType.simpleString()
     lines = rows.select("_id", "_tag", "_text").mapInArrow(_sequence(min_words), LINES.format(id=kind))
-    alive = materialize(lines, "lines").select("_id", "_tag", "pos", F.col("line").alias("x"), F.lit(None).cast("long").alias("y"), "lengths")
+    used = [lines := materialize(lines, "lines")]
+    alive = lines.select("_id", "_tag", "pos", F.col("line").alias("x"), F.lit(None).cast("long").alias("y"), "lengths")
     later: DataFrame | None = None
     h = 1
     while True:
@@ -94,11 +95,16 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         both = both.select(first["_id"], first["_tag"], "pos", "n", "r", "s")
         place = F.struct(F.col("_id").alias("a"), F.col("_tag").alias("b"), F.col("pos").alias("c"))
         intervals = both.groupBy("n", "r", "s").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-        copies = both.join(intervals, ["n", "r", "s"]).where(~place.eqNullSafe(F.col("keep"))).select("_id", "_tag", "pos", "n")
+        # A table of its own, so that the join reads two shuffles, of which Spark may split a hot interval's.
+        intervals = materialize(intervals, f"intervals{h}")
+        copies = materialize(both.join(intervals, ["n", "r", "s"]).where(~place.eqNullSafe(F.col("keep"))).select("_id", "_tag", "pos", "n"), f"copies{h}")
         later = copies if later is None else later.unionByName(copies)
+        discard(*used, ranks, intervals)
+        used = [ranked]
 
         longest = ranked.agg(F.max(F.array_max("lengths"))).first()[0]
         if longest is None or longest < 2 * h:
+            discard(ranked)
             return later
         ahead = ranked.select(F.col("_id").alias("i"), F.col("_tag").alias("t"), (F.col("pos") - h).alias("p"), F.col("rank").alias("y"))
         alive = ranked.join(ahead, ranked["_id"].eqNullSafe(ahead["i"]) & (ranked["_tag"] == ahead["t"]) & (ranked["pos"] == ahead["p"]))
