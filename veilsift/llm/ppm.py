@@ -25,7 +25,7 @@ U64 = np.uint64
 ORDER = 4
 #: Before the first byte of a text and after its last: a byte that UTF-8 never has.
 EDGE = b"\xff"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 TERMS = "kind string, pid long, block long, keys binary, counts binary, tokens long"
 REPLIES = "kind string, pid long, block long, reply binary, distinct long"
