@@ -118,6 +118,20 @@ def test_secret_lexing():
     assert text[a:b] == literal
 
 
+def test_secret_names():
+    literal = "Zx9-kQ2mLp4TvR8w!"
+    lexed = lambda text: [text[a:b] for a, b, k in secrets.scan(text)[0] if k == 3]
+    weighty = [w for w, n in secrets.SENSITIVE.items() if n]
+    for word in weighty:
+        name = word if secrets.SENSITIVE[word] > 1 else f"{word}_{'access' if word != 'access' else 'api'}"
+        assert lexed(f'{name} = "{literal}"') == [literal], name
+    for name in ("apiSigning", "pass_word", "to-ken", "access.signing"):
+        assert lexed(f'{name} = "{literal}"') == [literal], name
+    path = ".".join(["configuration"] * 8 + ["client-secret"])
+    assert len(path) > 120 and lexed(f"{path} = '{literal}'") == [literal]
+    assert lexed(f"{path.replace('client-secret', 'title')} = '{literal}'") == []
+
+
 def test_secrets_operator(spark):
     rows = [(1, "token=abcdefgh12"), (2, None), (3, ""), (3, ""), (None, "z" * 200_000)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string")

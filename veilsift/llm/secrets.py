@@ -32,8 +32,9 @@ PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "none", "null"
 #: The score from which a literal is reported.
 LEAST_SCORE = 4.0
 
-#: A document without any of these holds no sensitive name.
-HINT = re.compile(rb"pass|pwd|secret|token|key|credential|auth|bearer|private", re.IGNORECASE)
+#: A document without any of these, in lower case and without what may part words of a name, holds no sensitive name.
+HINTS = [w.encode() for w, n in SENSITIVE.items() if n and not any(v in w and v != w for v, m in SENSITIVE.items() if m)]
+PARTING = b"_$. -"
 
 LEXEME = re.compile(
     rb"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
@@ -118,7 +119,7 @@ def lexed_spans(raw: bytes) -> list[tuple[int, int, int]]:
             break
         if pieces:
             known[name] = pieces
-            weight = name_score(name) if len(name) <= 80 and re.fullmatch(rb"[A-Za-z0-9_$.\x20-]+", name) else 0
+            weight = name_score(name) if re.fullmatch(rb"[A-Za-z0-9_$.\x20-]+", name) else 0
             value = b"".join(raw[a:b] for a, b in pieces)
             if weight >= 2 and (score := weight + literal_score(value)) >= LEAST_SCORE:
                 for piece in pieces:
@@ -127,12 +128,18 @@ def lexed_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return [(a, b, 3) for a, b in sorted(found) if b > a]
 
 
+def may_hold(raw: bytes) -> bool:
+    """Whether a text may hold a name with a sensitive word, or with two neighbours that make one (pass_word)."""
+    low = raw.lower().translate(None, PARTING)
+    return any(w in low for w in HINTS)
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], int]:
     """All spans of a text in code points, sorted, and how many are base ones. Base spans come first in
     the check: a lexed span that one of them covers adds nothing and is left out."""
     raw = text.encode("utf-8", "surrogatepass")
     base = base_spans(raw)
-    extra = lexed_spans(raw) if HINT.search(raw) else []
+    extra = lexed_spans(raw) if may_hold(raw) else []
     extra = [x for x in extra if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
     spans = base + extra
     if spans and len(raw) != len(text):
