@@ -132,6 +132,21 @@ def test_secret_names():
     assert lexed(f"{path.replace('client-secret', 'title')} = '{literal}'") == []
 
 
+def test_secret_declarations():
+    literal = "Zx9kLm2Qw8Rt5vAb"
+    lexed = lambda text: [text[a:b] for a, b, k in secrets.scan(text)[0] if k == 3]
+    for text in (
+        f'const apiKey: string = "{literal}";', f'password: str = "{literal}"', f'private readonly clientSecret: string | null = "{literal}";', f'val apiKey: String? = "{literal}"',
+        f'let authToken: String = "{literal}"', f"const API_KEY: &'static str = \"{literal}\"; // it's", f'static PASSWORD: &str = "{literal}";', f'api_key: Optional[str] = "{literal}"',
+        f'secret: Annotated[str, Field(min_length=8)] = "{literal}"', f'pwd: std::string::String = "{literal}"', f'def f(n: int, password: str="{literal}"): pass', f'token_value: "str" = "{literal}"',
+        f'func login(for user: String, password: String = "{literal}") {{}}', f'material: str = "{literal}"\nclient_secret: str = material\n', f'let mut secret: Map<string, string> = "{literal}"',
+    ):
+        assert lexed(text) == [literal], text
+    for text in (f'const title: string = "{literal}"; let password: string;', f'if has_password: title = "{literal}"', 'apiKey: string = getKey()', f'password: string\ntitle = "{literal}"', f'secret: a b = "{literal}"'):
+        assert lexed(text) == [], text
+    assert lexed(f"password: {literal}! user = bob") == [f"{literal}!"]
+
+
 def test_secrets_operator(spark):
     rows = [(1, "token=abcdefgh12"), (2, None), (3, ""), (3, ""), (None, "z" * 200_000)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string")

@@ -36,8 +36,15 @@ LEAST_SCORE = 4.0
 HINTS = [w.encode() for w, n in SENSITIVE.items() if n and not any(v in w and v != w for v, m in SENSITIVE.items() if m)]
 PARTING = b"_$. -"
 
+#: First words of statements in which a colon ends no target: what follows is a statement or a value of its own.
+CONTROL = {b"if", b"elif", b"else", b"while", b"for", b"case", b"default", b"with", b"try", b"except", b"finally", b"lambda"}
+#: Words before the name of a type, and types that no literal is ever given to.
+MODIFIERS = {b"mut", b"const", b"dyn", b"readonly", b"unsigned", b"typeof", b"keyof", b"static", b"final"}
+PRIMITIVE = {b"string", b"str", b"String", b"char", b"bytes", b"object", b"any", b"Any"}
+
 LEXEME = re.compile(
-    rb"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    rb"""(?P<lifetime>&'[a-z_][a-z0-9_]*\x20+(?:mut\x20+)?(?=str\b|String\b|\[))
+    |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
     |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)
     |(?P<number>[0-9][A-Za-z0-9+/_.=-]*)
     |(?P<assign>:=|=>|==|[=:])
@@ -78,33 +85,61 @@ def literal_score(value: bytes) -> float:
     return 0.5 * (len(text) >= 16) + 0.5 * kinds + (entropy >= 3.0) * 0.5
 
 
+def declared_value(raw: bytes, tokens: list[tuple[str, int, int]], j: int) -> int | None:
+    """Where the value begins if a type expression and = stand from token j on, as in name: Optional[str] = "...".
+
+    Types are names, joined by the marks of unions, references and paths, with anything in brackets but braces
+    and colons. Each token is looked at once over all calls: no expression goes beyond a colon.
+    """
+    depth, before = 0, b""
+    while j < len(tokens):
+        kind, a, b = tokens[j]
+        text = raw[a:b]
+        if text == b":" and j + 2 < len(tokens) and raw[tokens[j + 1][1] : tokens[j + 1][2]] == b":" and before[:1].isalpha():
+            j, before = j + 2, b"::"
+            continue
+        if text in (b":", b"{", b"}"):
+            return None
+        if text in (b"[", b"(", b"<"):
+            depth += 1
+        elif text in (b"]", b")", b">"):
+            if not depth:
+                return None
+            depth -= 1
+        elif not depth:
+            if text == b"=":
+                return j + 1 if before else None
+            if kind == "name" and (before[:1].isalpha() or before[:1] in (b"_", b"$")) and before not in MODIFIERS:
+                return None
+            if kind not in ("name", "string", "lifetime") and text not in (b"|", b"&", b"?", b"!", b"*", b"=>"):
+                return None
+        j, before = j + 1, text
+    return None
+
+
 def lexed_spans(raw: bytes) -> list[tuple[int, int, int]]:
     """Literals given to sensitive names, as (start, end, kind) in bytes, each literal once.
 
     The text is cut into strings, names, operators and ends of statements. A name followed by = or : (after
     an optional closing quote, as in JSON) and a literal is a pair; a name on the right stands for the
     literal it was last given, through any number of steps, and pieces joined by + for all of theirs. A
-    string may be the name where : follows it.
+    string may be the name where : follows it. Where : is followed by a type and =, the name before : is also
+    the target of the quoted literal, number or known name after =.
     """
     tokens = [(m.lastgroup, m.start(), m.end()) for m in LEXEME.finditer(raw) if m.lastgroup != "space"]
     known: dict[bytes, list[tuple[int, int]]] = {}
     found: dict[tuple[int, int], float] = {}
-    i, n = 0, len(tokens)
-    while i < n - 2:
-        kind, start, end = tokens[i]
-        operator = raw[tokens[i + 1][1] : tokens[i + 1][2]] if tokens[i + 1][0] == "assign" else b""
-        if kind not in ("name", "string") or operator not in (b"=", b":", b":=", b"=>") or kind == "string" and operator == b"=":
-            i += 1
-            continue
-        name = raw[start:end] if kind == "name" else raw[start + 1 : end - 1]
-        j, pieces = i + 2, []
+    n = len(tokens)
+
+    def value_at(j: int, bare: bool) -> list[tuple[int, int]]:
+        pieces: list[tuple[int, int]] = []
         while j < n:
             k, a, b = tokens[j]
             if k == "string":
                 pieces.append((a + 1, b - 1))
             elif k == "name" and raw[a:b] in known:
                 pieces += known[raw[a:b]]
-            elif k in ("name", "number") and not pieces:
+            elif k == "number" and not pieces or k == "name" and bare and not pieces:
                 m = BARE.match(raw, a)
                 b = m.end() if m else b
                 pieces.append((a, b))
@@ -117,14 +152,32 @@ def lexed_spans(raw: bytes) -> list[tuple[int, int, int]]:
                 j += 1
                 continue
             break
-        if pieces:
+        return pieces
+
+    def give(name: bytes, pieces: list[tuple[int, int]]) -> None:
+        if name not in PRIMITIVE:
             known[name] = pieces
-            weight = name_score(name) if re.fullmatch(rb"[A-Za-z0-9_$.\x20-]+", name) else 0
-            value = b"".join(raw[a:b] for a, b in pieces)
-            if weight >= 2 and (score := weight + literal_score(value)) >= LEAST_SCORE:
-                for piece in pieces:
-                    found[piece] = max(found.get(piece, 0), score)
-        i += 1
+        weight = name_score(name) if re.fullmatch(rb"[A-Za-z0-9_$.\x20-]+", name) else 0
+        value = b"".join(raw[a:b] for a, b in pieces)
+        if weight >= 2 and (score := weight + literal_score(value)) >= LEAST_SCORE:
+            for piece in pieces:
+                found[piece] = max(found.get(piece, 0), score)
+
+    control, begins = False, True
+    for i in range(n - 2):
+        kind, start, end = tokens[i]
+        if kind == "end" and raw[start:end] in (b"\n", b";", b"{", b"}"):
+            control, begins = False, True
+        elif begins:
+            control, begins = raw[start:end] in CONTROL, False
+        operator = raw[tokens[i + 1][1] : tokens[i + 1][2]] if tokens[i + 1][0] == "assign" else b""
+        if kind not in ("name", "string") or operator not in (b"=", b":", b":=", b"=>") or kind == "string" and operator == b"=":
+            continue
+        name = raw[start:end] if kind == "name" else raw[start + 1 : end - 1]
+        if pieces := value_at(i + 2, True):
+            give(name, pieces)
+        if operator == b":" and not control and (j := declared_value(raw, tokens, i + 2)) is not None and (pieces := value_at(j, False)):
+            give(name, pieces)
     return [(a, b, 3) for a, b in sorted(found) if b > a]
 
 
