@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 from collections import defaultdict
 
 import pytest
@@ -110,3 +111,17 @@ def test_licenses(spark):
     assert by[5] == (None, ["MIT"], 1) and by[6] == (None, ["CC-BY-NC-4.0"], 2)
     assert by[7] == by[8] == by[None] == (None, [], 0)
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+def test_long_licenses(spark):
+    end = "END OF TERMS AND CONDITIONS"
+    rows = []
+    for path in sorted((pathlib.Path(__file__).parent / "licenses").glob("*.txt")):
+        text, name = path.read_text(), path.stem.split("@")[0]
+        rows += [(name, text), (name, "\n".join(f" * {x}" for x in text.upper().split("\n"))), (None, text + "\nand more"), (None, text[: len(text) // 2])]
+        if end in text:
+            rows.append((name, text[: text.index(end) + len(end)]))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+    assert {name for name, _ in license_texts.DIGESTS} == {name for name, _ in rows if name}

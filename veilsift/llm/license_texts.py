@@ -75,6 +75,32 @@ TEXTS = [
     ("GPL-3.0-or-later", GPL_NOTICE.format(v=3)),
 ]
 
+#: Digests (licenses.digest) of the long texts, whole and up to the end of their terms; tests/llm/licenses holds the texts.
+DIGESTS = [
+    ("Apache-2.0", "0bd92ecab6c9ae6d797ceea4eaf189857999b290b26b0da8e9dc0ff3c30a34e8"),
+    ("Apache-2.0", "3cadc7d4f362979643c5bb255c4c9d67312a93c3c4af0667dd141c2b18817454"),
+    ("Apache-2.0", "6537484b35791c1a5da5423a0ec37a0b53cf576633f99dbc6cbbc082d0cd8d66"),
+    ("Apache-2.0", "7344d7b010ed06669d02fd695b0ad14b4f233520668c35c46d585f981ed64e02"),
+    ("CC-BY-4.0", "a37db6abfebdcf1a88f17ff1fdf86f19ab1f0aab8d23838bd00ef30bdfade752"),
+    ("CC-BY-SA-4.0", "6fd32d7fe30fa66c101714769c97e3e375bdf90cc19532508e2dfb4d98a92a9d"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", "aa997bc1c3422ccdc7ccabdc6f9aaa9ce2ebeed7be208887d2b13ff901326c75"),
+    ("GPL-2.0-only", "c2eea7a9d82a254e540a96d8107801d93d00bcef2742a78b7e8e8d0c0efcbd1c"),
+    ("GPL-2.0-only", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0-only", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0-only", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+]
+
 #: Names under which sentences declare a licence.
 NAMES = [
     ("MIT", "MIT License"),

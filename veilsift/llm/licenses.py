@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilsift.llm.common import documents
-from veilsift.llm.license_texts import DECLARATIONS, NAMES, TEXTS
+from veilsift.llm.license_texts import DECLARATIONS, DIGESTS, NAMES, TEXTS
 
 # Spellings that count as one. They are replaced wherever they stand.
 EQUIVALENT = [
@@ -44,7 +44,9 @@ def known_texts() -> list[tuple[str, str]]:
 def known_digests(spark: SparkSession) -> DataFrame:
     """license and digest of every known text: as many rows as this package lists, whatever the input."""
     rows = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("text")) for a, b in known_texts()])
-    return spark.range(1).select(F.inline(rows)).select("license", digest(F.col("text")).alias("_digest")).groupBy("_digest").agg(F.min("license").alias("license"))
+    long = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("_digest")) for a, b in DIGESTS])
+    known = spark.range(1).select(F.inline(rows)).select("license", digest(F.col("text")).alias("_digest")).unionByName(spark.range(1).select(F.inline(long)))
+    return known.groupBy("_digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
