@@ -76,6 +76,16 @@ def test_quality_verdicts(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_quality_other_scripts(spark):
+    draw = random.Random(8)
+    scripts = {"ru": "абвгдежзиклмнопрстуфя", "el": "αβγδεζηθικλμνξοπρστυφως", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "hi": "कखगचजटडतदनपबमरलवसहािी"}
+    prose = lambda letters: ". ".join(" ".join("".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(12)) for _ in range(8))
+    rows = [(x, prose(a)) for x, a in scripts.items()] + [(None, prose(scripts["ru"])), ("xx", prose("█▓☺→★♥")), ("en", prose(scripts["ru"]))]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [True] * 5 + [False, False]
+
+
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
     "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +110,16 @@ class Profile:
         self.table = class_table()
 
 
-def measure(texts: list[str], profile: Profile) -> dict[str, np.ndarray]:
-    """Base counts of each text and its distances from each reference."""
+def other_letters(text: str) -> tuple[int, int]:
+    """Lower-case (or caseless) and upper-case letters beyond ASCII, with marks on them as the former."""
+    counts = Counter(text)
+    upper = sum(n for c, n in counts.items() if c > "\x7f" and c.isupper())
+    return sum(n for c, n in counts.items() if c > "\x7f" and unicodedata.category(c)[0] in "LM") - upper, upper
+
+
+def measure(texts: list[str], profile: Profile, known: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Base counts of each text and its distances from each reference. Of texts that aren't known to be in a language
+    with reference, letters beyond ASCII count as letters: the references' scripts aren't theirs."""
     n = len(texts)
     number: dict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
@@ -130,6 +139,9 @@ def measure(texts: list[str], profile: Profile) -> dict[str, np.ndarray]:
             elif line.strip():
                 seen.add(line)
         classes[i] = np.bincount(profile.table[np.frombuffer(raw, np.uint8)], minlength=9)
+        if known is not None and not known[i] and classes[i, 6]:
+            lower, upper = other_letters(t)
+            classes[i] += np.array([lower, upper, 0, 0, 0, 0, -lower - upper, 0, 0])
     every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     text = np.repeat(np.arange(n), out["n_words"])
     out["n_repeat_words"] = repeated_words(every, text, n)
@@ -160,8 +172,8 @@ def quality(
     Of the rest a text goes if its histogram of character classes, or of common words, is farther in
     Jensen-Shannon distance than allowed from the reference of its language. Histograms of few words say
     little, so texts below guard_words words pass. A language without reference, or none, is measured
-    against all references, of which the nearest counts; its common words aren't judged, as it may have
-    others.
+    against all references, of which the nearest counts, with letters of any script as letters; its common
+    words aren't judged, as it may have others.
 
     Each batch is judged where it lies: no shuffle, and nothing is gathered. Null text has no words and
     fails; an empty table stays empty; repeated rows get equal results; columns of docs named like the
@@ -180,10 +192,10 @@ def quality(
         for whole in batches:
             for batch in slices(whole):
                 texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-                m = measure(texts, profile)
                 lang = np.fromiter((at_lang.get(x, -1) for x in batch.column(len(names) + 1).to_pylist()), np.int64, len(texts))
                 rows = np.arange(len(texts))
                 known = lang >= 0
+                m = measure(texts, profile, known)
                 by_class = np.where(known, m["class_distance"][rows, lang], m["class_distance"].min(1))
                 by_word = np.where(known, m["word_distance"][rows, lang], m["word_distance"].min(1))
                 failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
