@@ -215,6 +215,77 @@ def test_similar_documents_edges(spark):
     assert jaccard.similar_documents(frame.limit(0)).count() == 0
 
 
+def family(draw, n, length=120):
+    """Variants of one text, whose edits add up to differences on both sides of the threshold."""
+    base = words(draw, length, 10**6).split()
+    out = []
+    for _ in range(n):
+        own = base[:]
+        for _ in range(draw.randint(1, 4)):
+            own[draw.randrange(length)] = f"v{draw.randint(0, 10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("star_rows", "block_bytes", "most_common"), [(256, 8 << 20, 1 << 17), (4, 4000, 4)])
+def test_large_groups(spark, monkeypatch, star_rows, block_bytes, most_common):
+    """Hundreds of classes that share signatures: a family about the threshold, and texts that share nothing but a passage.
+    Cutting stars finely and knowing hardly any common element changes nothing."""
+    monkeypatch.setattr(jaccard, "STAR_ROWS", star_rows)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(jaccard._grouped, "__defaults__", (most_common,))
+    draw = random.Random(11)
+    passage = words(draw, 60, 10**6)
+    texts = family(draw, 150) + [passage + " " + words(draw, 20, 10**6) for _ in range(150)] + [passage + " " + words(draw, 3, 10**6) for _ in range(30)]
+    ids = list(range(len(texts)))
+    draw.shuffle(ids)
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(frame).collect()}
+    want = dict(zip(ids, brute_components(ids, brute_sets(texts)), strict=True))
+    assert got == want
+    assert 120 < len(set(want.values())) < 320
+
+
+def test_thousands_that_are_not_similar():
+    """A group of thousands of mutually dissimilar sets gives a pair each, no links, and soon."""
+    draw = np.random.default_rng(3)
+    shared = draw.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared, draw.integers(0, 2**63, 60).astype(np.uint64)])) for _ in range(3000)]
+    names = [jaccard.digest(s) for s in sets]
+    assert jaccard.joining_links(sets, names, [0] * len(sets), 80, 100) == []
+    key = b"\1" * jaccard.KEY_BYTES
+    import pyarrow as pa
+
+    met = jaccard._meet(pa.table({"pid": [0], "classes": [b"".join(names)], "which": [np.arange(3000, dtype="<u2").tobytes()], "keys": [key * 3000]}))
+    assert met.num_rows == 2999 and set(met["n"].to_pylist()) == {3000}
+    assert set(met["a"].to_pylist()) == {min(names)}
+
+
+def test_links_of_rows_without_id(spark):
+    """Texts A, N, B where only N joins A and B: with or without an id on N."""
+    base = [f"w{i}" for i in range(120)]
+    a, n, b = base[:], base[:], base[:]
+    a[20], a[60] = "x", "x"
+    b[40], b[100] = "y", "y"
+    texts = [" ".join(t) for t in (a, n, b)]
+    sets = brute_sets(texts)
+    assert len(sets[0] & sets[2]) * 100 < 80 * len(sets[0] | sets[2]) and len(sets[0] & sets[1]) * 100 >= 80 * len(sets[0] | sets[1])
+    frame = spark.createDataFrame([(7, texts[0]), (None, texts[1]), (5, texts[2])], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.similar_documents(frame).collect()} == {5}
+    left = jaccard.one_of_each(frame).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(5, texts[2])]
+
+
+def test_one_of_each_edges(spark):
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(4, near, "x"), (4, near, "x"), (4, near + " more", "y"), (None, near + " end", "z"), (None, "alone of all", "z"), (None, "alone of all", "z"), (1, None, "n"), (2, "", "n"), (None, None, "n"), (3, "x " * 200_000, "long")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = jaccard.one_of_each(frame).collect()
+    assert sorted((str(r.doc_id), r._row) for r in got if r._row != "n") == [("3", "long"), ("4", got[[g.doc_id for g in got].index(4)]._row), ("None", "z")]
+    assert sorted(str(r.doc_id) for r in got if r._row == "n") == ["1", "2", "None"]
+    assert jaccard.one_of_each(frame.limit(0)).count() == 0 and jaccard.one_of_each(frame).columns == frame.columns
+
+
 @pytest.mark.parametrize("links", [[(i, i + 1) for i in range(40)], [(5, 9), (9, 1), (7, 3), (3, 3)], []])
 def test_components(spark, links):
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

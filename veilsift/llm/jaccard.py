@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilsift.llm.common import discard, documents, materialize, shuffle_partitions
@@ -213,8 +213,13 @@ def signatures(s: np.ndarray, bands: Bands, common: np.ndarray | None = None, pa
 
 
 KEY_BYTES = 6
-SENT = "pid int, classes binary, which binary, keys binary"
-FOUND = "gid long, a binary, b binary"
+SENT = "pid long, classes binary, which binary, keys binary"
+FOUND = "a binary, b binary, n long"
+
+#: Bytes of signatures that one pid is to hold, and about how many a shingle gives.
+PID_BYTES, BYTES_A_SHINGLE = 48 << 20, 8
+#: Members of a star that go to one task together with their leader, and bytes of sets compared in one task.
+STAR_ROWS, BLOCK_BYTES = 256, 8 << 20
 
 
 def _send(n_pids: int, words: int, num: int, den: int, common: np.ndarray):
@@ -241,35 +246,29 @@ def _send(n_pids: int, words: int, num: int, den: int, common: np.ndarray):
                     there, which = np.unique(doc[a:b], return_inverse=True)
                     keys = np.ascontiguousarray(sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
                     rows.append((int(pid[a]), b"".join(names[i] for i in there.tolist()), which.astype("<u2").tobytes(), keys.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["pid", "classes", "which", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["pid", "classes", "which", "keys"])
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Candidates of the signatures of one pid.
-
-    A signature shared by two classes gives their pair. One shared by more gives the pairs of its least
-    class with each other one, under a number that stands for the whole group; groups alike are given once.
-    """
-    none = pa.table({"gid": pa.array([], pa.int64()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-    keys, classes = [], []
+    """Candidates of the signatures of one pid: each class of a group that shares a signature, with the group's least
+    class, and the size of the largest such group. A group of n classes gives n - 1 pairs, and a pair is given once."""
+    keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, "V16")]
     for c, w, k in zip(table["classes"].to_pylist(), table["which"].to_pylist(), table["keys"].to_pylist(), strict=True):
-        own = np.frombuffer(c, "V16")
-        classes.append(own[np.frombuffer(w, "<u2")])
+        classes.append(np.frombuffer(c, "V16")[np.frombuffer(w, "<u2")])
         wide = np.zeros((len(k) // KEY_BYTES, 8), np.uint8)
         wide[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
         keys.append(wide.view("<u8").ravel())
-    if not keys:
-        return none
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    again = np.concatenate(([False], key[1:] == key[:-1]))
+    again = np.zeros(len(key), bool)
+    again[1:] = key[1:] == key[:-1]
     again[:-1] |= again[1:]
     key, cls = key[again], np.concatenate(classes)[order[again]]
     if not len(key):
-        return none
+        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
     # V16 has no order in numpy: two big-endian halves have.
     halves = np.ascontiguousarray(cls).view(">u8").reshape(-1, 2).astype(U64)
     order = np.lexsort((halves[:, 1], halves[:, 0], key))
@@ -278,18 +277,15 @@ def _meet(table: pa.Table) -> pa.Table:
     key, halves = key[fresh], halves[fresh]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
-    mark = np.add.reduceat(scramble(halves[:, 0] ^ scramble(halves[:, 1], 1), 2), start)
-    group = np.repeat(np.arange(len(start)), size)
-    seen = np.unique(np.stack([mark, size.astype(U64)], 1), axis=0, return_index=True)[1]
-    use = np.zeros(len(start), bool)
-    use[seen] = True
-    use &= size >= 2
-    leader = np.repeat(start, size)
-    rows = np.flatnonzero(use[group] & (np.arange(len(key)) != leader))
-    of = group[rows]
-    raw = lambda at: [x.tobytes() for x in halves[at].astype(">u8")]
-    gid = pa.array(mark[of].astype(np.int64), mask=size[of] < 3)
-    return pa.table({"gid": gid, "a": pa.array(raw(leader[rows]), pa.binary()), "b": pa.array(raw(rows), pa.binary())})
+    rows = np.flatnonzero(np.arange(len(key)) != np.repeat(start, size))
+    both = np.concatenate((halves[np.repeat(start, size)[rows]], halves[rows]), axis=1)
+    n = np.repeat(size, size)[rows]
+    order = np.lexsort((-n, both[:, 3], both[:, 2], both[:, 1], both[:, 0]))
+    both, n = both[order], n[order]
+    first = np.concatenate(([True], (both[1:] != both[:-1]).any(1)))[: len(both)]
+    raw = both[first].astype(">u8").tobytes()
+    halves_of = lambda at: pa.array([raw[i + at : i + at + 16] for i in range(0, len(raw), 32)], pa.binary())
+    return pa.table({"a": halves_of(0), "b": halves_of(16), "n": pa.array(n[first], pa.int64())})
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -299,12 +295,6 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & U64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def lanes(s: np.ndarray) -> list[int]:
-    """A sketch of 512 places as eight integers, for comparing within a join."""
-    bits = (np.bincount((s & U64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view("<i8").tolist()
-
-
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound on how many elements two sets differ in, from their sketches."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -316,23 +306,35 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, n_shingles, the class of each row's set and its sketch (null if empty); at the first row of a batch, the elements
-    that at least OFTEN different sets of the batch have."""
+    """_id, _row (a number that rows equal in id and text share), n_shingles, the class of each row's set and its sketch
+    (null if empty); at the first row of a batch, the elements that at least OFTEN different sets of the batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, rows=20_000):
-                sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)
+                sets = shingle_sets([t or "" for t in batch.column(2).to_pylist()], words)
                 names = [digest(s) for s in sets]
                 once = {n: s for n, s in zip(names, sets, strict=True) if n}
                 element, n = np.unique(np.concatenate([*once.values(), np.zeros(0, U64)]), return_counts=True)
                 shared = [element[n >= OFTEN].astype("<u8").tobytes(), *[None] * (len(sets) - 1)]
                 named = [pa.array(x, pa.binary()) for x in (names, [sketch(s) if len(s) else None for s in sets], shared)]
-                named.append(pa.array([lanes(s) for s in sets], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *named], names=["_id", "n_shingles", "class", "sketch", "common", "lanes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *named], names=["_id", "_row", "n_shingles", "class", "sketch", "common"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_shingles long, class binary, sketch binary, common binary, lanes array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"_id {kind}, _row long, n_shingles long, class binary, sketch binary, common binary")
+
+
+#: A column that no input has.
+KEY = "veilsift row number"
+
+
+def row_number(id_col: str, text_col: str) -> Column:
+    """A number that tells rows apart which differ in id or text, but for collisions: what it finds is compared again."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{id_col}`").isNull())
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), row_number(id_col, text_col).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
 
 
 #: An element is common if so many different sets of one batch have it. At most MOST_COMMON are known, in as many
@@ -340,7 +342,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
 OFTEN, MOST_COMMON = 3, 1 << 17
 
 
-def common_elements(sets: DataFrame) -> np.ndarray:
+def common_elements(sets: DataFrame, most: int = MOST_COMMON) -> np.ndarray:
     """The elements that are common in most batches, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,16 +351,12 @@ def common_elements(sets: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8"))], names=["element"])
 
     counted = sets.where("common IS NOT NULL").select("common").mapInArrow(run, "element long").groupBy("element").count()
-    rows = counted.orderBy(F.col("count").desc(), "element").limit(MOST_COMMON).select("element").collect()
+    rows = counted.orderBy(F.col("count").desc(), "element").limit(most).select("element").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).astype(U64))
 
 
-def _classes_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """A text of each class in pairs."""
+    """A text of each class in pairs: that of any row that has its set, with id or without."""
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -366,49 +364,151 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, pair
                 own = [digest(s) for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)]
                 yield batch.filter(pa.array([a == b for a, b in zip(own, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
 
-    chosen = classes.select("class", F.col("own").alias("_id")).where("own IS NOT NULL").join(_classes_of(pairs), "class", "left_semi")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("class", "_text")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    chosen = classes.select("class", "_row").join(wanted, "class", "left_semi")
+    texts = _keyed(docs, id_col, text_col).join(chosen, "_row").select("class", "_text")
     return texts.mapInArrow(right, "class binary, _text string").dropDuplicates(["class"])
 
 
-BOUNDED = "a binary, b binary, n_a long, n_b long, differ long"
+def _with_leaders(pairs: DataFrame, of_classes: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(a, salt, columns) of the leaders of pairs and (a, salt, b, columns) of their members. A class that leads
+    thousands comes once for every STAR_ROWS or so of them, so no task gets all pairs of one leader."""
+    leaders = pairs.select("a", "salt").distinct().join(of_classes.select(F.col("class").alias("a"), *columns), "a")
+    members = pairs.select("a", "salt", "b").join(of_classes.select(F.col("class").alias("b"), *columns), "b")
+    return leaders, members.select("a", "salt", "b", *columns)
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with the sizes of their sets and the least that these can differ in, from sketches."""
+def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sketches don't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            differ = [least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(differ, pa.int64())], names=["a", "b", "n_a", "n_b", "differ"])
+            n_a, n_b, x, y = (batch.column(i).to_pylist() for i in range(3, 7))
+            near = [least_difference(p, q) * (den + num) <= (i + j) * (den - num) for i, j, p, q in zip(n_a, n_b, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=["a", "salt", "b"]).filter(pa.array(near, pa.bool_()))
+
+    leaders, members = _with_leaders(pairs, classes, "n_shingles", "sketch")
+    both = members.select("a", "salt", "b", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("y")).join(leaders, ["a", "salt"])
+    return both.select("a", "salt", "b", F.col("n_shingles").alias("n_a"), "n_b", F.col("sketch").alias("x"), "y").mapInArrow(run, "a binary, salt long, b binary")
+
 
-    own = classes.select("class", "n_shingles", "sketch").join(_classes_of(pairs), "class", "left_semi")
-    wide = pairs.join(own.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("x")), "a")
-    wide = wide.join(own.select(F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("y")), "b")
-    return wide.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, BOUNDED)
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return den * shared >= num * (len(x) + len(y) - shared)
 
 
-def _check(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) with in how many elements their sets differ, on whole texts."""
+def _check(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that link, on whole texts. Rows of one leader come as a stream after the leader's own
+    text, of which nothing but its set is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, np.zeros(0, U64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                at_text: dict[str, int] = {}
-                for t in (*left, *right):
-                    at_text.setdefault(t, len(at_text))
-                sets = shingle_sets(list(at_text), words)
-                rows = []
-                for x, y in zip(left, right, strict=True):
-                    p, q = sets[at_text[x]], sets[at_text[y]]
-                    rows.append((len(p), len(q), 2 * len(np.union1d(p, q)) - len(p) - len(q)))
-                shared = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *shared], names=["a", "b", "n_a", "n_b", "differ"])
-
-    wide = pairs.join(texts.select(F.col("class").alias("a"), F.col("_text").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("_text").alias("y")), "b")
-    return wide.select("a", "b", "x", "y").mapInArrow(run, BOUNDED)
+            for batch in slices(whole):
+                sets = shingle_sets([t or "" for t in batch.column(3).to_pylist()], words)
+                found = []
+                for a, b, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets, strict=True):
+                    if b is None:
+                        leader, own = a, s
+                    elif a == leader and linked(own, s, num, den):
+                        found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    leaders, members = _with_leaders(pairs, texts, "_text")
+    rows = leaders.select("a", "salt", F.lit(None).cast("binary").alias("b"), "_text").unionByName(members)
+    rows = rows.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def joining_links(sets: list[np.ndarray], comps: list, part: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components: enough to join whatever all links between these sets join. part: 0 or 1;
+    if both come, only sets of different parts are compared.
+
+    Sets of the largest component aren't compared with one another. Every other set is compared with all that
+    aren't in its component by then: sketches in one matrix rule most out, the rest are compared element by element.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    side = np.asarray(part)
+    across = len(np.unique(side)) > 1
+    label = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
+    places = max(64, 1 << int(4 * size.max() - 1).bit_length())
+    bits = np.zeros((n, places // 64), U64)
+    for i, s in enumerate(sets):
+        odd = (np.bincount((s & U64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8)
+        bits[i] = np.packbits(odd, bitorder="little").view("<u8")
+    done = np.zeros(n, bool)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(label != np.argmax(np.bincount(label))).tolist():
+        done[i] = True
+        others = np.flatnonzero((label != label[i]) & ~done & ((side != side[i]) | (not across)))
+        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1).astype(np.int64)
+        near = apart * (den + num) <= (size[others] + size[i]) * (den - num)
+        for j in others[near][np.argsort(apart[near], kind="stable")].tolist():
+            if label[j] != label[i] and linked(sets[i], sets[j], num, den):
+                out.append((i, j))
+                label[label == label[i]] = label[j]
+    return out
+
+
+def _across_components(pairs: DataFrame, settled: DataFrame, classes: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links between members of one star that aren't in one component yet.
+
+    A star is a least class with all that share a signature of three classes or more with it. Two members of a
+    group are members of its least class's star, and a pair that several groups hold comes up once. A star whose sets exceed
+    BLOCK_BYTES is cut into parts, and every two parts are one task, so that none gets an unbounded group.
+    What comes out of a task joins components: fewer links than it has members.
+    """
+
+    def close(table: pa.Table) -> pa.Table:
+        nodes, u = table["node"].to_pylist(), table["u"].to_pylist()
+        sets = shingle_sets([t or "" for t in table["_text"].to_pylist()], words)
+        found = joining_links(sets, table["comp"].to_pylist(), [int(x != u[0]) for x in u], num, den)
+        return pa.table({side: pa.array([nodes[f[i]] for f in found], pa.binary()) for i, side in enumerate("ab")})
+
+    wide = pairs.where("n > 2")
+    members = wide.select("a", "salt", F.col("b").alias("node")).unionByName(wide.select("a", F.lit(0).cast("long").alias("salt"), F.col("a").alias("node")).distinct())
+    placed = members.join(settled, "node", "left").join(classes.select(F.col("class").alias("node"), "n_shingles"), "node")
+    placed = materialize(placed.select("a", "salt", "node", F.coalesce("comp", "node").alias("comp"), "n_shingles"), "placed")
+    stars = placed.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.col("n_shingles") * 8).alias("bytes")).where("x <> y")
+    stars = stars.select("a", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
+    salted = placed.select("a", "salt").distinct().join(stars, "a")
+    dealt = placed.join(salted, ["a", "salt"]).select("a", "node", "comp", F.pmod(F.xxhash64("node"), F.col("parts")).alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("v"))
+    blocks = dealt.select("a", "node", "comp", "u", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
+    whole = blocks.join(texts.select(F.col("class").alias("node"), "_text"), "node")
+    links = materialize(whole.groupBy("a", "lo", "hi").applyInArrow(close, "a binary, b binary"), "closing")
+    discard(placed)
+    return links
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, most_common: int = MOST_COMMON) -> DataFrame:
+    """_id, _row, n_shingles, class, comp (a class that stands for the component) and component_id of every row."""
+    spark = docs.sparkSession
+    sets = materialize(sets_of(docs, id_col, text_col, words), "sets")
+    classes = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("own"), F.min("_row").alias("_row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
+    shingles = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    pids = max(shuffle_partitions(spark), shingles * BYTES_A_SHINGLE // PID_BYTES + 1)
+    sent = docs.select(F.col(f"`{text_col}`").alias("_text")).mapInArrow(_send(pids, words, num, den, common_elements(sets, most_common)), SENT)
+    found = sent.repartition(pids, "pid").groupBy("pid").applyInArrow(_meet, FOUND)
+    pairs = found.groupBy("a", "b").agg(F.max("n").alias("n"))
+    pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.floor(F.col("n") / STAR_ROWS)))), "pairs")
+
+    texts = materialize(_texts(docs, id_col, text_col, classes, pairs, words), "texts")
+    likely = materialize(_likely(pairs, classes, num, den), "likely")
+    links = materialize(_check(likely, texts, words, num, den), "links")
+    settled = components(links)
+    more = _across_components(pairs, settled, classes, texts, words, num, den)
+    if more.take(1):
+        settled = components(links.unionByName(more))
+    discard(pairs, texts, likely, links, more)
+
+    least = classes.select("class", "own")
+    joined = least.join(settled, least["class"] == settled["node"], "left").select("class", F.coalesce("comp", "class").alias("comp"), "own")
+    roots = joined.groupBy("comp").agg(F.min("own").alias("component_id"))
+    by_class = materialize(joined.select("class", "comp").join(roots, "comp"), "components")
+    discard(classes)
+    return sets.select("_id", "_row", "n_shingles", "class").join(by_class, "class", "left")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -419,70 +519,37 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     1. Equal sets become one class, so exact copies cost one set a batch, not one a copy. Elements that many sets of
        a batch have (shared passages) are noted: a signature without any other element is made only for sets that have few others.
-    2. Signatures go to their pid packed in byte strings of some thousands, sorted there and paired:
-       each group of classes that share one gives pairs with its least class only, never all pairs.
+    2. Signatures go to their pid packed in byte strings of some thousands, sorted there and paired: each group of
+       classes that share one gives pairs with its least class only, never all pairs. There are as many pids as the
+       signatures' bytes ask for.
     3. A sketch of each set bounds from below in how much two sets differ; pairs that it lets pass are
        checked on whole texts, and links joined to components.
-    4. Within a group whose classes are in different components by now, the other pairs between those
-       components are checked as well, except where a sketch, or the triangle inequality of Jaccard distance to
-       the least class, already rules a link out within the join. Then components are final, and no link between them is missing.
+    4. Members of a group that are in different components by now are compared in blocks of bounded bytes, where links are
+       told by whole sets, and only such links come out as join components. Then components are final.
 
     A text without words (null, empty, white space) has no shingles and is its own component. Rows without id
-    take the component of their equals and name no component themselves; repeated rows are equals.
-    An empty table gives an empty table; other columns are ignored.
+    link like any others, and their texts may join documents that don't link with one another; they name no component, so one
+    whose rows all lack an id has none. Repeated rows are equals, and so are rows that share an id but not their text
+    in all but name. An empty table gives an empty table; other columns are ignored, whatever their names.
     """
-    pids = shuffle_partitions(docs.sparkSession)
-    used: list[DataFrame] = []
-    sets = materialize(sets_of(docs, id_col, text_col, words), "sets")
-    classes = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("lanes").alias("lanes"))
-    classes = materialize(classes, "classes")
-    sent = docs.select(F.col(text_col).alias("_text")).mapInArrow(_send(pids, words, num, den, common_elements(sets)), SENT)
-    found = materialize(sent.groupBy("pid").applyInArrow(_meet, FOUND), "candidates")
-    linked = F.col("differ") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-
-    def links_among(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links among pairs, and for all pairs the range in which the Jaccard distance lies."""
-        bounded = materialize(_bounded(pairs, classes), "bounded")
-        likely = bounded.where(linked).select("a", "b")
-        texts = materialize(_texts(docs, id_col, text_col, classes, likely, words), "texts")
-        exact = materialize(_check(likely, texts, words), "checked")
-        discard(texts)
-        used.extend((bounded, exact))
-        distance = 2 * F.col("differ") / (F.col("n_a") + F.col("n_b") + F.col("differ"))
-        least = bounded.where(~linked).select("a", "b", distance.alias("least"), F.lit(1.0).alias("most"))
-        return exact.where(linked).select("a", "b"), least.unionByName(exact.select("a", "b", distance.alias("least"), distance.alias("most")))
-
-    pairs = found.select("a", "b").distinct()
-    links, ranges = links_among(pairs)
-    settled = components(links)
-
-    groups = found.where("gid IS NOT NULL").distinct()
-    members = groups.join(ranges, ["a", "b"]).select("gid", F.col("b").alias("node"), "least", "most")
-    members = members.unionByName(groups.select("gid", F.col("a").alias("node"), F.lit(0.0).alias("least"), F.lit(0.0).alias("most")).distinct())
-    placed = members.join(settled, "node", "left").select("gid", "node", "least", "most", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gid")
-    eight = [F.element_at("lanes", i + 1).alias(f"lane{i}") for i in range(8)]
-    own = classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), *eight)
-    open_ = materialize(placed.join(split, "gid", "left_semi").join(own, "node"), "open")
-    p, q = (open_.select("gid", *[F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "gid"]) for side in "ab")
-    reach = (den - num) / den + 1e-9
-    near = (F.col("least_a") - F.col("most_b") <= reach) & (F.col("least_b") - F.col("most_a") <= reach)
-    apart = sum((F.bit_count(F.col(f"lane{i}_a").bitwiseXOR(F.col(f"lane{i}_b"))) for i in range(8)), F.lit(0))
-    near &= apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    rest = p.join(q, "gid").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & near)
-    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    used.append(rest := materialize(rest, "rest"))
-    more, _ = links_among(rest)
-    if more.take(1):
-        settled = components(links.unionByName(more))
-
-    least = classes.select("class", "own")
-    joined = settled.join(least, settled["node"] == least["class"]).select("class", "comp", "own")
-    roots = joined.groupBy("comp").agg(F.min("own").alias("root"))
-    named = joined.join(roots, "comp").select("class", "root")
-    by_class = materialize(least.join(named, "class", "left").select("class", F.coalesce("root", "own").alias("component_id")), "components")
-    discard(*used, classes, found, open_)
-    return sets.join(by_class, "class", "left").select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("_id"))).alias("component_id"))
+    rows = _grouped(docs, id_col, text_col, words, num, den)
+    return rows.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("_id"))).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, rows without id last, and of rows that share the
+    id the one whose hash is least. Rows without words link with nothing and stay. Rows equal in id and text are one
+    document, of which one row stays. An empty table stays empty. Columns stay, whatever their names."""
+    rows = _grouped(docs, id_col, text_col, words, num, den)
+    each = rows.groupBy("_id", "_row", "comp").agg(F.count(F.lit(1)).alias("n"))
+    alone = F.when(F.col("comp").isNull(), F.struct("_id", "_row"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row", "n")).alias("first")
+    chosen = materialize(each.groupBy("comp", alone.alias("alone")).agg(first).select("first._id", "first._row", "first.n"), "chosen")
+    keyed = docs.withColumn(KEY, row_number(id_col, text_col))
+    kept = keyed.join(chosen.select(F.col("_id").alias(f"{KEY}_id"), F.col("_row").alias(f"{KEY}_of")), (F.col(KEY) == F.col(f"{KEY}_of")) & F.col(f"`{id_col}`").eqNullSafe(F.col(f"{KEY}_id")), "left_semi")
+    if chosen.where("n > 1").take(1):
+        kept = kept.dropDuplicates([KEY, id_col])
+    return kept.drop(KEY)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
