@@ -256,7 +256,7 @@ def test_thousands_that_are_not_similar():
     key = b"\1" * jaccard.KEY_BYTES
     import pyarrow as pa
 
-    met = jaccard._meet(pa.table({"pid": [0], "classes": [b"".join(names)], "which": [np.arange(3000, dtype="<u2").tobytes()], "keys": [key * 3000]}))
+    met = jaccard._meet(pa.table({"pid": [0], "classes": [b"".join(names)], "counts": [np.ones(3000, "<u4").tobytes()], "keys": [key * 3000]}))
     assert met.num_rows == 2999 and set(met["n"].to_pylist()) == {3000}
     assert set(met["a"].to_pylist()) == {min(names)}
 

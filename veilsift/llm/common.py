@@ -68,11 +68,17 @@ _PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize gave, once nothing that is still to run reads them."""
+    """Delete tables that materialize gave, once nothing that is still to run reads them.
+
+    The shuffles that made them go as well: Spark deletes those that the driver's collector finds unused, and without
+    a call it would hardly ever look, as a driver with little to do has little to collect.
+    """
     for table in tables:
         ref, path = _PATHS.pop(id(table), (None, ""))
         if ref is not None and ref() is table:
             _delete(table.sparkSession, path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -170,8 +170,13 @@ class Bands:
 TELLING_TURNS, ANY_TURNS = 6, 64
 
 
-def signatures(s: np.ndarray, bands: Bands, common: np.ndarray | None = None, parts: int = 2, spoiled: int = 1) -> np.ndarray:
-    """The signatures of a set. common: elements, sorted, that so many sets have that they tell little.
+def signatures(s: np.ndarray, bands: Bands, common: np.ndarray | None = None) -> np.ndarray:
+    """All signatures of a set, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, U64), *(sig for _, sig in signatures_by_band(s, bands, common))]))
+
+
+def signatures_by_band(s: np.ndarray, bands: Bands, common: np.ndarray | None = None, parts: int = 2, spoiled: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """The signatures of a set in each band that it takes part in. common: elements, sorted, that so many sets have that they tell little.
 
     In a band where sets differ in up to k elements, the domain is cut into n1 partitions and each
     into `parts` smaller ones. In more than n1 - 1 - k // (spoiled + 1) partitions two similar sets differ in at most
@@ -182,7 +187,6 @@ def signatures(s: np.ndarray, bands: Bands, common: np.ndarray | None = None, pa
     domain cut anew and finer; a pair is found in the turn in which the first of its two sets stops, as both took
     it. Sets that never stop, because common elements are almost all they have, end with turns in which every element tells.
     """
-    out = []
     subsets = list(itertools.combinations(range(parts), parts - spoiled))
     tells = np.ones(len(s), bool)
     if common is not None and len(common) and len(s):
@@ -192,6 +196,7 @@ def signatures(s: np.ndarray, bands: Bands, common: np.ndarray | None = None, pa
         if k == 0:
             continue  # similar sets of this band are equal, and equal sets are one class already
         first = bands.partitions(b, parts, spoiled)
+        out = []
         for turn in range(TELLING_TURNS + ANY_TURNS):
             n1 = int(first * 1.5**turn) if turn < TELLING_TURNS else first
             counted = tells if turn < TELLING_TURNS else slice(None)
@@ -209,20 +214,40 @@ def signatures(s: np.ndarray, bands: Bands, common: np.ndarray | None = None, pa
                 break
         else:
             raise RuntimeError("no cut of the domain fills enough parts")
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
+        yield b, np.unique(np.concatenate(out))
 
 
-KEY_BYTES = 6
-SENT = "pid long, classes binary, which binary, keys binary"
+#: Bytes of a signature that are sent. Its pid tells some bits more; what chance makes equal is checked like any candidate.
+KEY_BYTES = 5
+SENT = "pid long, classes binary, counts binary, keys binary"
 FOUND = "a binary, b binary, n long"
 
-#: Bytes of signatures that one pid is to hold, and about how many a shingle gives.
-PID_BYTES, BYTES_A_SHINGLE = 48 << 20, 8
+#: Signatures that one pid is to hold.
+PID_SIGNATURES = 6 << 20
 #: Members of a star that go to one task together with their leader, and bytes of sets compared in one task.
 STAR_ROWS, BLOCK_BYTES = 256, 8 << 20
 
 
-def _send(n_pids: int, words: int, num: int, den: int, common: np.ndarray):
+def pids_of_bands(sizes: dict[int, int], bands: Bands, least: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """For each band its first pid and how many it has, and the number of all. sizes: about how many elements sets of
+    about a size have together.
+
+    A set meets only sets of its own bands, so it goes to the pids of these: few, which keeps together what names it. There
+    are as many pids as the signatures, about one an element, ask for, and about `least` if that is more.
+    """
+    load: dict[int, int] = {}
+    for n, elements in sizes.items():
+        for b in bands.instances(n):
+            load[b] = load.get(b, 0) + elements
+    most = min(PID_SIGNATURES, max(1, sum(load.values()) // least))
+    out, at = {}, 0
+    for b in sorted(load):
+        out[b] = at, -(-load[b] // most)
+        at += out[b][1]
+    return out, max(1, at)
+
+
+def _send(pids: dict[int, tuple[int, int]], words: int, num: int, den: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for whole in batches:
@@ -232,21 +257,23 @@ def _send(n_pids: int, words: int, num: int, den: int, common: np.ndarray):
                     if len(s):
                         sets.setdefault(digest(s), s)
                 names = list(sets)
-                per = [signatures(s, bands, common) for s in sets.values()]
-                if not sum(map(len, per)):
+                sent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for i, s in enumerate(sets.values()):
+                    for b, sig in signatures_by_band(s, bands, common):
+                        at, n = pids.get(b, (0, 1))
+                        sent.append((sig, ((sig >> U64(32)) * U64(n) >> U64(32)).astype(np.int64) + at, np.full(len(sig), i)))
+                if not sum(len(x[0]) for x in sent):
                     continue
-                sig = np.concatenate(per)
-                doc = np.repeat(np.arange(len(per), dtype=np.int64), np.fromiter(map(len, per), np.int64, len(per)))
-                pid = ((sig >> U64(32)) * U64(n_pids) >> U64(32)).astype(np.int64)
+                sig, pid, doc = (np.concatenate(x) for x in zip(*sent, strict=True))
                 order = np.argsort(pid, kind="stable")
                 sig, doc, pid = sig[order], doc[order], pid[order]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(pid)) + 1, [len(pid)]))
                 rows: list[tuple] = []
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    there, which = np.unique(doc[a:b], return_inverse=True)
+                    there, count = np.unique(doc[a:b], return_counts=True)
                     keys = np.ascontiguousarray(sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-                    rows.append((int(pid[a]), b"".join(names[i] for i in there.tolist()), which.astype("<u2").tobytes(), keys.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["pid", "classes", "which", "keys"])
+                    rows.append((int(pid[a]), b"".join(names[i] for i in there.tolist()), count.astype("<u4").tobytes(), keys.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["pid", "classes", "counts", "keys"])
 
     return run
 
@@ -255,8 +282,8 @@ def _meet(table: pa.Table) -> pa.Table:
     """Candidates of the signatures of one pid: each class of a group that shares a signature, with the group's least
     class, and the size of the largest such group. A group of n classes gives n - 1 pairs, and a pair is given once."""
     keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, "V16")]
-    for c, w, k in zip(table["classes"].to_pylist(), table["which"].to_pylist(), table["keys"].to_pylist(), strict=True):
-        classes.append(np.frombuffer(c, "V16")[np.frombuffer(w, "<u2")])
+    for c, n, k in zip(table["classes"].to_pylist(), table["counts"].to_pylist(), table["keys"].to_pylist(), strict=True):
+        classes.append(np.repeat(np.frombuffer(c, "V16"), np.frombuffer(n, "<u4")))
         wide = np.zeros((len(k) // KEY_BYTES, 8), np.uint8)
         wide[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
         keys.append(wide.view("<u8").ravel())
@@ -366,30 +393,34 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, pair
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     chosen = classes.select("class", "_row").join(wanted, "class", "left_semi")
-    texts = _keyed(docs, id_col, text_col).join(chosen, "_row").select("class", "_text")
-    return texts.mapInArrow(right, "class binary, _text string").dropDuplicates(["class"])
+    # Which texts are wanted grows with the table: the same join at every size. Repeated rows lie together after it.
+    texts = _keyed(docs, id_col, text_col).join(chosen.hint("merge"), "_row").select("_row", "class", "_text").distinct()
+    return texts.select("class", "_text").mapInArrow(right, "class binary, _text string")
 
 
-def _with_leaders(pairs: DataFrame, of_classes: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """(a, salt, columns) of the leaders of pairs and (a, salt, b, columns) of their members. A class that leads
-    thousands comes once for every STAR_ROWS or so of them, so no task gets all pairs of one leader."""
-    leaders = pairs.select("a", "salt").distinct().join(of_classes.select(F.col("class").alias("a"), *columns), "a")
-    members = pairs.select("a", "salt", "b").join(of_classes.select(F.col("class").alias("b"), *columns), "b")
-    return leaders, members.select("a", "salt", "b", *columns)
+def _beside_leaders(pairs: DataFrame, of_classes: DataFrame, *columns: str) -> DataFrame:
+    """(a, salt, b, columns) of the members of pairs, each after a row of its leader, where b is null. A class that
+    leads thousands comes once for every STAR_ROWS or so of them, so no task gets all pairs of one leader."""
+    leaders = pairs.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.col("a").alias("class")).distinct()
+    uses = leaders.unionByName(pairs.select("a", "salt", "b", F.col("b").alias("class")))
+    rows = uses.hint("merge").join(of_classes.select("class", *columns), "class").select("a", "salt", "b", *columns)
+    return rows.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose sketches don't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own, size = None, b"", 0
         for batch in batches:
-            n_a, n_b, x, y = (batch.column(i).to_pylist() for i in range(3, 7))
-            near = [least_difference(p, q) * (den + num) <= (i + j) * (den - num) for i, j, p, q in zip(n_a, n_b, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=["a", "salt", "b"]).filter(pa.array(near, pa.bool_()))
+            near = []
+            for a, b, n, x in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if b is None:
+                    leader, own, size = a, x, n
+                near.append(b is not None and a == leader and least_difference(own, x) * (den + num) <= (size + n) * (den - num))
+            yield batch.select(["a", "salt", "b"]).filter(pa.array(near, pa.bool_()))
 
-    leaders, members = _with_leaders(pairs, classes, "n_shingles", "sketch")
-    both = members.select("a", "salt", "b", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("y")).join(leaders, ["a", "salt"])
-    return both.select("a", "salt", "b", F.col("n_shingles").alias("n_a"), "n_b", F.col("sketch").alias("x"), "y").mapInArrow(run, "a binary, salt long, b binary")
+    return _beside_leaders(pairs, classes, "n_shingles", "sketch").mapInArrow(run, "a binary, salt long, b binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -398,8 +429,7 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _check(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that link, on whole texts. Rows of one leader come as a stream after the leader's own
-    text, of which nothing but its set is kept."""
+    """Pairs (a, b) that link, on whole texts. Of a leader's text nothing but its set is kept while its members pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, np.zeros(0, U64)
@@ -414,10 +444,7 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -
                         found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    leaders, members = _with_leaders(pairs, texts, "_text")
-    rows = leaders.select("a", "salt", F.lit(None).cast("binary").alias("b"), "_text").unionByName(members)
-    rows = rows.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return rows.mapInArrow(run, "a binary, b binary")
+    return _beside_leaders(pairs, texts, "_text").mapInArrow(run, "a binary, b binary")
 
 
 def joining_links(sets: list[np.ndarray], comps: list, part: list[int], num: int, den: int) -> list[tuple[int, int]]:
@@ -481,27 +508,33 @@ def _across_components(pairs: DataFrame, settled: DataFrame, classes: DataFrame,
     return links
 
 
+def _candidates(docs: DataFrame, text_col: str, classes: DataFrame, common: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """(a, b, n, salt): classes that share a signature, with the least that does, and the size of the largest such group."""
+    # A row for each quarter more in size: some dozens, however large the table.
+    sizes = classes.groupBy(F.floor(F.log(1.25, "n_shingles")).alias("size")).agg(F.sum("n_shingles")).collect()
+    pids, n_pids = pids_of_bands({int(1.25 ** (size + 0.5)): n for size, n in sizes}, Bands(num, den), shuffle_partitions(docs.sparkSession))
+    sent = docs.select(F.col(f"`{text_col}`").alias("_text")).mapInArrow(_send(pids, words, num, den, common), SENT)
+    pairs = sent.repartition(n_pids, "pid").groupBy("pid").applyInArrow(_meet, FOUND).groupBy("a", "b").agg(F.max("n").alias("n"))
+    return materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.floor(F.col("n") / STAR_ROWS)))), "pairs")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, most_common: int = MOST_COMMON) -> DataFrame:
     """_id, _row, n_shingles, class, comp (a class that stands for the component) and component_id of every row."""
-    spark = docs.sparkSession
     sets = materialize(sets_of(docs, id_col, text_col, words), "sets")
-    classes = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("own"), F.min("_row").alias("_row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    shingles = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    pids = max(shuffle_partitions(spark), shingles * BYTES_A_SHINGLE // PID_BYTES + 1)
-    sent = docs.select(F.col(f"`{text_col}`").alias("_text")).mapInArrow(_send(pids, words, num, den, common_elements(sets, most_common)), SENT)
-    found = sent.repartition(pids, "pid").groupBy("pid").applyInArrow(_meet, FOUND)
-    pairs = found.groupBy("a", "b").agg(F.max("n").alias("n"))
-    pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.floor(F.col("n") / STAR_ROWS)))), "pairs")
-
-    texts = materialize(_texts(docs, id_col, text_col, classes, pairs, words), "texts")
+    own = [F.min("_id").alias("own"), F.min("_row").alias("_row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")]
+    classes = materialize(sets.where("class IS NOT NULL").groupBy("class").agg(*own), "classes")
+    pairs = _candidates(docs, text_col, classes, common_elements(sets, most_common), words, num, den)
     likely = materialize(_likely(pairs, classes, num, den), "likely")
+    read = likely.select("a", "b").unionByName(pairs.where("n > 2").select("a", "b"))
+    texts = materialize(_texts(docs, id_col, text_col, classes, read, words), "texts")
     links = materialize(_check(likely, texts, words, num, den), "links")
+    discard(likely)
     settled = components(links)
     more = _across_components(pairs, settled, classes, texts, words, num, den)
+    discard(pairs, texts)
     if more.take(1):
         settled = components(links.unionByName(more))
-    discard(pairs, texts, likely, links, more)
+    discard(links, more)
 
     least = classes.select("class", "own")
     joined = least.join(settled, least["class"] == settled["node"], "left").select("class", F.coalesce("comp", "class").alias("comp"), "own")
@@ -520,8 +553,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     1. Equal sets become one class, so exact copies cost one set a batch, not one a copy. Elements that many sets of
        a batch have (shared passages) are noted: a signature without any other element is made only for sets that have few others.
     2. Signatures go to their pid packed in byte strings of some thousands, sorted there and paired: each group of
-       classes that share one gives pairs with its least class only, never all pairs. There are as many pids as the
-       signatures' bytes ask for.
+       classes that share one gives pairs with its least class only, never all pairs. Each band has as many pids as its
+       signatures ask for.
     3. A sketch of each set bounds from below in how much two sets differ; pairs that it lets pass are
        checked on whole texts, and links joined to components.
     4. Members of a group that are in different components by now are compared in blocks of bounded bytes, where links are
