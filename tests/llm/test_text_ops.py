@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -198,3 +199,66 @@ def test_chat_operator(spark, monkeypatch):
     pieces = chat.format_conversations(turns).where("conv_id = 7").orderBy("piece").collect()
     assert b"".join(bytes(p.formatted) for p in pieces).count(chat.CLOSE) == 2
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_secrets_in_time():
+    """Texts made to cost much: joins of joins, long chains, thousands of secrets, names after names, quotes that never close."""
+    import time
+
+    began = time.time()
+    for text in (
+        "a = 'Zx9kLm2Qw8Rt5vAb'\n" + "a = a + a\n" * 60 + "password = a\n",
+        "a0 = 'Zx9kLm2Q'\n" + "".join(f"a{i + 1} = a{i} + 'w8Rt5vAb'\n" for i in range(20_000)) + "password = a20000\n",
+        "".join(f"v{i} = 'plain {i}'\n" for i in range(100_000)),
+        "".join(f"password = 'Zx9kLm2Qw8Rt{i}vAb'\ntoken = AKIA{i:016d}\n" for i in range(8_000)),
+        "token=" * 50_000,
+        '"' + '\\"' * 50_000,
+        "key: " * 50_000,
+    ):
+        spans, _ = secrets.scan("api_key\n" + text)
+        assert all(a < b for a, b, _ in spans)
+    assert time.time() - began < 60
+    assert secrets.scan("a = 'Zx9kLm2Qw8Rt5vAb'\n" + "a = a + a\n" * 60 + "passphrase = a")[0] == [(5, 21, 3)]
+
+
+def brute_program(lines):
+    """Literals that a program of simple assignments gives to names that hold 'passphrase', by running it."""
+    values, out = {}, set()
+    for name, parts in lines:
+        pieces = [p for x in parts for p in ([x] if isinstance(x, tuple) else values[x])]
+        values[name] = pieces
+        text = "".join(t for t, _ in pieces)
+        chars = Counter(text)
+        kinds = sum(any(f(c) for c in text) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        entropy = -sum(c / len(text) * math.log2(c / len(text)) for c in chars.values()) if text else 0
+        fits = len(text) >= 8 and len(chars) >= 5 and " " not in text and kinds >= 2
+        if "passphrase" in name and fits and 3 + 0.5 * (len(text) >= 16) + 0.5 * kinds + 0.5 * (entropy >= 3) >= 4:
+            out |= {at for _, at in pieces}
+    return out
+
+
+def test_secret_programs():
+    """Random programs: what the lexer finds is what running them gives to sensitive names."""
+    draw, some = random.Random(8), 0
+    for _ in range(400):
+        text, lines, names = "", [], []
+        for _ in range(draw.randint(1, 12)):
+            name = draw.choice(["x", "y", "conf.z", "my_passphrase", "passphraseB"])
+            text += name + draw.choice([" = ", "=", " := ", ": "])
+            parts = []
+            for k in range(draw.randint(1, 3)):
+                text += " + " if k else ""
+                if names and draw.random() < 0.5:
+                    parts.append(draw.choice(names))
+                    text += parts[-1]
+                else:
+                    word = "".join(draw.choice("abcXYZ019_! ") for _ in range(draw.randint(1, 14)))
+                    parts.append((word, (len(text) + 1, len(text) + 1 + len(word))))
+                    text += f'"{word}"'
+            names.append(name)
+            lines.append((name, parts))
+            text += draw.choice(["\n", ";\n", "  # note\n"])
+        got = {(a, b) for a, b, _ in secrets.lexed_spans(text.encode())}
+        assert got == brute_program(lines), text
+        some += len(got)
+    assert some > 200

@@ -26,6 +26,8 @@ ORDER = 4
 #: Before the first byte of a text and after its last: a byte that UTF-8 never has.
 EDGE = b"\xff"
 BLOCK_BYTES = 4 << 20
+#: Bytes of text a partition of owned things is to stand for, so that there are as many as the table asks for.
+OWNED_BYTES = 32 << 20
 
 TERMS = "kind string, pid long, block long, keys binary, counts binary, tokens long"
 REPLIES = "kind string, pid long, block long, reply binary, distinct long"
@@ -292,12 +294,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held_out(F.col(id_col), modulus, remainder).alias("_held"))
     size, n_train = rows.agg(F.coalesce(F.sum(F.octet_length("_text") + 64), F.lit(0)), F.count_if(~F.col("_held"))).first()
-    pids = shuffle_partitions(spark)
+    pids = max(shuffle_partitions(spark), size // OWNED_BYTES + 1)
     blocks = max(pids, size // BLOCK_BYTES + 1)
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks))).groupBy("_block")
 
     terms = materialize(dealt.applyInArrow(lambda t: _collect(t, pids), TERMS), "terms")
-    of_paths, of_words = (terms.where(F.col("kind") == k).groupBy("pid") for k in ("path", "word"))
+    of_paths, of_words = (terms.where(F.col("kind") == k).repartition(pids, "pid").groupBy("pid") for k in ("path", "word"))
     totals = materialize(of_paths.applyInArrow(_path_totals, "path long, count long"), "paths")
     # At most 256 x 256 rows, whatever the corpus.
     pairs = np.zeros(65536, np.int64)
@@ -307,7 +309,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     context = F.shiftright("path", 8).bitwiseAND(0xFFFF)
     logs = totals.groupBy(F.pmod(F.xxhash64(context), F.lit(4 * pids)).alias("part")).applyInArrow(lambda t: _model(t, pairs), "path long, log double")
     model = materialize(logs.mapInArrow(partial(_with_owner, n_pids=pids), "pid long, path long, log double"), "model")
-    path_replies = model.groupBy("pid").cogroup(of_paths).applyInArrow(lambda m, t: _path_replies(m, t), REPLIES)
+    path_replies = model.repartition(pids, "pid").groupBy("pid").cogroup(of_paths).applyInArrow(lambda m, t: _path_replies(m, t), REPLIES)
     word_replies = materialize(of_words.applyInArrow(_word_replies, REPLIES), "words")
     known, tokens = word_replies.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0], terms.where("kind = 'word'").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,9 @@ SENSITIVE = {
 }
 #: Values that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "none", "null", "true", "false", "undefined", "redacted", "todo"}
+NO_SECRET = (b"http://", b"https://", b"${", b"{{", b"<", b"%(")
+#: Lower and upper case, digits, anything else.
+KINDS_OF_BYTES = [range(97, 123), range(65, 91), range(48, 58), [b for b in range(256) if not chr(b).isalnum() or b > 127]]
 #: The score from which a literal is reported.
 LEAST_SCORE = 4.0
 
@@ -51,10 +57,66 @@ LEXEME = re.compile(
     |(?P<plus>\+)
     |(?P<end>[\n;,{}()\[\]])
     |(?P<space>[\x20\t\r]+)
-    |(?P<other>.)""",
+    |(?P<other>\\.|.)""",
     re.VERBOSE | re.DOTALL,
 )
-BARE = re.compile(rb"[A-Za-z0-9+/_.=~!@$%^&*-]+")
+BARE = re.compile(rb"[A-Za-z0-9+/_.~!@$%^&*-]+={0,2}")
+
+
+class Tokens:
+    """The lexemes of a text but for white space, as (kind, start, end): 17 bytes each, however long the text."""
+
+    NAMES = [None, *sorted(LEXEME.groupindex, key=LEXEME.groupindex.__getitem__)]
+
+    def __init__(self, raw: bytes):
+        self.kind, self.starts, self.ends = bytearray(), array("q"), array("q")
+        space = LEXEME.groupindex["space"]
+        for m in LEXEME.finditer(raw):
+            if m.lastindex != space:
+                self.kind.append(m.lastindex)
+                self.starts.append(m.start())
+                self.ends.append(m.end())
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+    def __getitem__(self, i: int) -> tuple[str, int, int]:
+        return self.NAMES[self.kind[i]], self.starts[i], self.ends[i]
+
+
+class Value:
+    """What a name stands for: one literal of the text, or pieces joined. Names share the pieces they have in common, so
+    a text's values take as much room as its tokens, and a join of joins counts bytes without being written out."""
+
+    __slots__ = ("span", "pieces", "facts")
+
+    def __init__(self, span: tuple[int, int] | None, pieces: tuple[Value, ...] = ()):
+        self.span, self.pieces, self.facts = span, pieces, None
+
+
+#: As much of a value's beginning as tells a placeholder or an address.
+HEAD = 16
+
+
+def facts_of(value: Value, raw: bytes) -> tuple[Counter, bytes, bool]:
+    """How often a value has each byte, how it begins and whether it holds white space; each piece is looked at once."""
+    stack = [value]
+    while stack:
+        v = stack[-1]
+        if v.facts is None and (waiting := [p for p in v.pieces if p.facts is None]):
+            stack += waiting
+            continue
+        stack.pop()
+        if v.facts is None and v.span:
+            text = raw[v.span[0] : v.span[1]]
+            v.facts = Counter(text), text[:HEAD], re.search(r"\s", text.decode("utf-8", "replace")) is not None
+        elif v.facts is None:
+            counts, head = Counter(), b""
+            for p in v.pieces:
+                counts.update(p.facts[0])
+                head += p.facts[1] if len(head) < HEAD else b""
+            v.facts = counts, head[:HEAD], any(p.facts[2] for p in v.pieces)
+    return value.facts
 
 
 def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
@@ -73,19 +135,19 @@ def name_score(name: bytes) -> int:
     return sum(SENSITIVE.get(p, 0) for p in parts) + sum(SENSITIVE.get(p, 0) for p in both)
 
 
-def literal_score(value: bytes) -> float:
-    """How much a literal looks like a secret: length, kinds of characters, entropy a character."""
-    text = value.decode("utf-8", "replace")
-    if len(text) < 8 or text.lower() in PLACEHOLDERS or len(set(text)) < 5 or re.search(r"\s", text) or text.startswith(("http://", "https://", "${", "{{", "<", "%(")):
+def literal_score(counts: Counter, head: bytes, spaced: bool) -> float:
+    """How much a value looks like a secret: length, kinds of characters, entropy a byte."""
+    size = sum(counts.values())
+    if size < 8 or size <= HEAD and head.decode("utf-8", "replace").lower() in PLACEHOLDERS or len(counts) < 5 or spaced or head.startswith(NO_SECRET):
         return -math.inf
-    kinds = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    kinds = sum(any(b in counts for b in kind) for kind in KINDS_OF_BYTES)
     if kinds < 2:
         return -math.inf
-    entropy = -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
-    return 0.5 * (len(text) >= 16) + 0.5 * kinds + (entropy >= 3.0) * 0.5
+    entropy = -sum(c / size * math.log2(c / size) for c in counts.values())
+    return 0.5 * (size >= 16) + 0.5 * kinds + (entropy >= 3.0) * 0.5
 
 
-def declared_value(raw: bytes, tokens: list[tuple[str, int, int]], j: int) -> int | None:
+def declared_value(raw: bytes, tokens: Tokens, j: int) -> int | None:
     """Where the value begins if a type expression and = stand from token j on, as in name: Optional[str] = "...".
 
     Types are names, joined by the marks of unions, references and paths, with anything in brackets but braces
@@ -123,28 +185,27 @@ def lexed_spans(raw: bytes) -> list[tuple[int, int, int]]:
     The text is cut into strings, names, operators and ends of statements. A name followed by = or : (after
     an optional closing quote, as in JSON) and a literal is a pair; a name on the right stands for the
     literal it was last given, through any number of steps, and pieces joined by + for all of theirs. A
-    string may be the name where : follows it. Where : is followed by a type and =, the name before : is also
+    string may be the name where : follows it. The work grows with the text, whatever it holds. Where : is followed by a type and =, the name before : is also
     the target of the quoted literal, number or known name after =.
     """
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in LEXEME.finditer(raw) if m.lastgroup != "space"]
-    known: dict[bytes, list[tuple[int, int]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    tokens = Tokens(raw)
+    known: dict[bytes, Value] = {}
+    secret: list[Value] = []
     n = len(tokens)
 
-    def value_at(j: int, bare: bool) -> list[tuple[int, int]]:
-        pieces: list[tuple[int, int]] = []
+    def value_at(j: int, bare: bool) -> Value | None:
+        pieces: list[Value] = []
         while j < n:
             k, a, b = tokens[j]
             if k == "string":
-                pieces.append((a + 1, b - 1))
+                pieces.append(Value((a + 1, b - 1)))
             elif k == "name" and raw[a:b] in known:
-                pieces += known[raw[a:b]]
-            elif k == "number" and not pieces or k == "name" and bare and not pieces:
+                pieces.append(known[raw[a:b]])
+            elif not pieces and (k == "number" or k == "name" and bare):
                 m = BARE.match(raw, a)
                 b = m.end() if m else b
-                pieces.append((a, b))
-                while j + 1 < n and tokens[j + 1][1] < b:
-                    j += 1
+                pieces.append(Value((a, b)))
+                j = max(j, bisect_left(tokens.starts, b) - 1)
             else:
                 break
             j += 1
@@ -152,16 +213,14 @@ def lexed_spans(raw: bytes) -> list[tuple[int, int, int]]:
                 j += 1
                 continue
             break
-        return pieces
+        return None if not pieces else pieces[0] if len(pieces) == 1 else Value(None, tuple(pieces))
 
-    def give(name: bytes, pieces: list[tuple[int, int]]) -> None:
+    def give(name: bytes, value: Value) -> None:
         if name not in PRIMITIVE:
-            known[name] = pieces
+            known[name] = value
         weight = name_score(name) if re.fullmatch(rb"[A-Za-z0-9_$.\x20-]+", name) else 0
-        value = b"".join(raw[a:b] for a, b in pieces)
-        if weight >= 2 and (score := weight + literal_score(value)) >= LEAST_SCORE:
-            for piece in pieces:
-                found[piece] = max(found.get(piece, 0), score)
+        if weight >= 2 and weight + literal_score(*facts_of(value, raw)) >= LEAST_SCORE:
+            secret.append(value)
 
     control, begins = False, True
     for i in range(n - 2):
@@ -174,11 +233,18 @@ def lexed_spans(raw: bytes) -> list[tuple[int, int, int]]:
         if kind not in ("name", "string") or operator not in (b"=", b":", b":=", b"=>") or kind == "string" and operator == b"=":
             continue
         name = raw[start:end] if kind == "name" else raw[start + 1 : end - 1]
-        if pieces := value_at(i + 2, True):
-            give(name, pieces)
-        if operator == b":" and not control and (j := declared_value(raw, tokens, i + 2)) is not None and (pieces := value_at(j, False)):
-            give(name, pieces)
-    return [(a, b, 3) for a, b in sorted(found) if b > a]
+        if value := value_at(i + 2, True):
+            give(name, value)
+        if operator == b":" and not control and (j := declared_value(raw, tokens, i + 2)) is not None and (value := value_at(j, False)):
+            give(name, value)
+    found, seen = set(), set()
+    while secret:
+        value = secret.pop()
+        if id(value) not in seen:
+            seen.add(id(value))
+            secret += value.pieces
+            found.add(value.span)
+    return [(*span, 3) for span in sorted(found - {None}) if span[1] > span[0]]
 
 
 def may_hold(raw: bytes) -> bool:
@@ -193,7 +259,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], int]:
     raw = text.encode("utf-8", "surrogatepass")
     base = base_spans(raw)
     extra = lexed_spans(raw) if may_hold(raw) else []
-    extra = [x for x in extra if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
+    if extra and base:
+        base.sort()
+        starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+        extra = [x for x in extra if not (k := bisect_right(starts, x[0])) or reach[k - 1] < x[1]]
     spans = base + extra
     if spans and len(raw) != len(text):
         places = sorted({p for a, b, _ in spans for p in (a, b)})
