@@ -82,6 +82,14 @@ def from_tokens(tokens: Column) -> Column:
     return F.transform(F.filter(F.transform(tokens, of), lambda t: t["counts"]), judged)
 
 
+def mixed_lines(text: Column) -> Column:
+    """Lines that hold Latin letters and some of another script; null where a text holds none of those. One class
+    stands for all of the other scripts, and it is tried on lines only of texts that it is found in."""
+    other = U.class_of(*U._spans().values())
+    held = F.when(text.rlike(U.BEYOND_LATIN), F.when(text.rlike(other), text))
+    return F.filter(F.split(held, U.LINE_ENDS), lambda x: x.rlike(other) & x.rlike("[A-Za-z]"))
+
+
 def invisible(html: Column) -> Column:
     """Zero-width, directional, tag and variation characters, and lines that mix scripts."""
     n_zero, n_bidi, n_tag, n_selector = (U.count_of(html, c) for c in (U.ZERO_WIDTH_CLASS, U.BIDI_CLASS, U.TAG_CLASS, U.SELECTOR_CLASS))
@@ -89,8 +97,7 @@ def invisible(html: Column) -> Column:
     printable = F.regexp_replace(U.decode_selectors(F.when(n_selector >= 4, html)), r"[^\x20-\x7e]", "")
     high_if = lambda c: F.when(c, "high").otherwise("medium")
     quoted = lambda head, n, what, most: F.left(F.concat(n.cast("string") if n is not None else F.lit(""), F.lit(head), F.left(what, F.lit(most)), F.lit("'")), F.lit(200))
-    other = U.class_of(*U._spans().values())
-    mixed = F.filter(F.split(F.when(html.rlike(other), html), U.LINE_ENDS), lambda x: x.rlike(other) & x.rlike("[A-Za-z]"))
+    mixed = mixed_lines(html)
     scripts = lambda line: F.array_join(F.transform(U.scripts_in(line), lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", ")
     every = F.concat(
         only_if(n_zero > 0, finding(2, "zero_width", quoted(" zero-width chars; decoded='", n_zero, bits, 120), high_if(P.is_keyword(bits)), "very_high")),
@@ -190,5 +197,6 @@ def detect(df: DataFrame, html_col: str = "html") -> DataFrame:
 
 def exploded(df: DataFrame, *keys: str) -> DataFrame:
     """A row per finding with its place among its page's."""
-    return df.select(*keys, F.posexplode("findings").alias("ord", "f")).select(*keys, "ord", "f.*")
+    # The outer form, as below the other one Spark puts a filter on the array, and so computes all detectors twice.
+    return df.select(*keys, F.posexplode_outer("findings").alias("ord", "f")).where("ord IS NOT NULL").select(*keys, "ord", "f.*")
 

@@ -91,10 +91,17 @@ def scan_pdfs(captures: DataFrame) -> DataFrame:
     return captures.select("path", out.alias("findings"))
 
 
+#: Half-points up to which a run is too small to read.
+MOST_TINY = 2
+
+
 def scan_docx(files: DataFrame) -> DataFrame:
     """path and findings of rows of the binaryFile source."""
     parts = files.select("path", kernels.docx_parts(F.col("content")).alias("d"))
-    runs = F.transform("d.runs", lambda r: _hidden_run(r["why"], r["text"], "docx"))
+    size = lambda r: F.when(r["size"].rlike(r"^[+-]?[0-9]+\z"), r["size"].cast("decimal(38,0)"))
+    why = lambda r: F.when(r["vanish"], "vanish").when(F.lower(r["color"]).isin("ffffff", "white"), "white").when(size(r) <= MOST_TINY, "tiny")
+    hidden = F.filter(F.transform("d.runs", lambda r: F.struct(why(r).alias("why"), strip(r["text"]).alias("text"))), lambda x: x["why"].isNotNull() & (x["text"] != ""))
+    runs = F.transform(hidden, lambda x: _hidden_run(x["why"], x["text"], "docx"))
     meta = F.transform(F.filter("d.properties", lambda p: P.is_instruction(p["value"])), lambda p: finding(2, "docx_metadata", F.concat(p["name"], F.lit("="), F.left(p["value"], F.lit(160))), "high", "medium"))
     ok = _or_status(F.concat(runs, meta), "docx_clean", F.lit("no hidden/instruction text found"))
     return parts.select("path", F.when(F.col("d.error").isNotNull(), F.array(status("docx_error", F.col("d.error")))).otherwise(ok).alias("findings"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilsift.functions import patterns as P
-from veilsift.operators.detectors import FINDING, detect
+from veilsift.operators.detectors import FINDING, detect, let
 
 # Points by severity; anything else counts as UNKNOWN.
 POINTS = {"informational": 5, "low": 15, "medium": 45, "high": 80, "critical": 95}
@@ -26,6 +26,10 @@ THRESHOLD = 40
 LEGACY_BLOCK, LEGACY_REVIEW = 80, 40
 
 
+#: Columns that a reduction gives.
+REDUCED = ("findings", "score", "top_finding", "label", "n_findings")
+
+
 def points(severity: Column, scale: dict[str, int] = POINTS) -> Column:
     out = F.when(severity.isNull(), UNKNOWN)
     for name, value in scale.items():
@@ -74,10 +78,13 @@ def exit_code(label_: Column) -> Column:
     return F.when(label_.isin("CONFIRMED", "TRIPWIRE"), 2).when(label_.isin("REVIEW", "HIDDEN_TEXT"), 1).otherwise(0)
 
 
-def reduced(df: DataFrame) -> DataFrame:
-    """df with score, label, top_finding and n_findings for its findings."""
-    out = df.withColumn("score", score(F.col("findings"))).withColumn("top_finding", top_finding(F.col("findings")))
-    return out.withColumn("label", label(F.col("top_finding"))).withColumn("n_findings", F.size("findings"))
+def reduced(df: DataFrame, findings: Column | None = None) -> DataFrame:
+    """df with score, label, top_finding and n_findings for its findings: those of its column, or others that
+    become it. They are bound once, as every use of an expression is a copy of it."""
+    bound = let(lambda x: F.struct(x["f"].alias("findings"), score(x["f"]).alias("score"), top_finding(x["f"]).alias("top_finding"), F.size(x["f"]).alias("n_findings")), f=F.col("findings") if findings is None else findings)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in REDUCED]
+    out = df.select(*kept, let(lambda x: F.struct(x["r"], label(x["r"]["top_finding"]).alias("label")), r=bound).alias("_reduced"))
+    return out.select(*kept, "_reduced.r.findings", "_reduced.r.score", "_reduced.r.top_finding", "_reduced.label", "_reduced.r.n_findings")
 
 
 def scan(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilsift.operators.detectors import exploded
+
 TOOL, VERSION = "veilsift", "0.1.0"
 
 # The standard's schema, levels by severity, and the category that all rules are of.
@@ -25,7 +27,7 @@ def level(severity: Column) -> Column:
 def result_rows(items: DataFrame) -> DataFrame:
     """A SARIF result per finding, as JSON, in order: item, ord, vector, result. items: item (a number that orders
     them), source and findings."""
-    rows = items.select("item", "source", F.posexplode("findings").alias("ord", "f"))
+    rows = exploded(items, "item", "source").select("item", "source", "ord", F.struct("vector", "evidence", "severity", "confidence").alias("f"))
     place = F.array(F.struct(F.struct(F.struct(F.col("source").alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
     result = F.struct(
         F.concat(F.lit(f"{TOOL}/"), F.col("f.vector")).alias("ruleId"),

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.functions import kernels
 from veilsift.functions import patterns as P
 from veilsift.functions import unicode_ops as U
 from veilsift.operators import detectors as D
@@ -79,20 +78,23 @@ def sanitize(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df with label, score, removed, cleaned_text and safe_prompt: the text that a person sees, without invisible
     characters, look-alikes and sentences that instruct, framed as data."""
     page = F.col("_page")
-    out = D.with_parsed(df, html_col)
-    out = reduced(out.withColumn("findings", F.concat(*D.stages(F.col("_html"), page))))
-    out = out.withColumn("_bare", U.strip_invisible(page["visible"])).withColumn("_folded", U.fold_look_alikes(kernels.nfkc("_bare")))
+    out = reduced(D.with_parsed(df, html_col), F.concat(*D.stages(F.col("_html"), page)))
     hidden = F.filter(F.transform(page["tokens"], lambda t: F.struct(t.alias("t"), P.is_keyword(t["text"]).alias("hit"))), lambda x: (x["t"]["kind"] == "hidden") | ((x["t"]["kind"] == "form") & x["hit"]))
     reason = lambda t: F.when(t["kind"] == "form", "hidden:hidden_form_field").when(t["sr"], "hidden:sr_only_text").otherwise("hidden:css_hidden_text")
     said = lambda t: F.left(F.when(t["kind"] == "form", F.concat(t["name"], F.lit("="), t["text"])).otherwise(t["text"]), F.lit(200))
     hidden = F.transform(hidden, lambda x: F.struct(reason(x["t"]).alias("reason"), said(x["t"]).alias("text")))
-    note = F.when(F.col("_bare") != page["visible"], F.array(F.struct(F.lit("invisible_unicode").alias("reason"), F.lit(INVISIBLE_NOTE).alias("text")))).otherwise(F.array().cast(REMOVED))
-    out = out.withColumn("_parts", F.transform(sentences(F.col("_folded")), lambda s: F.struct(s.alias("s"), P.is_instruction(s).alias("bad"))))
-    commands = F.transform(F.filter("_parts", lambda p: p["bad"]), lambda p: F.struct(F.lit("stripped_instruction").alias("reason"), F.left(D.strip(p["s"]), F.lit(200)).alias("text")))
-    kept = F.array_join(F.transform(F.filter("_parts", lambda p: ~p["bad"]), lambda p: p["s"]), "")
-    out = out.withColumn("removed", F.concat(hidden, note, commands)).withColumn("cleaned_text", D.strip(F.regexp_replace(kept, rf"[{P._SPACE}]+", " ")))
-    out = out.withColumn("safe_prompt", F.concat(F.lit(FRAME_HEAD), F.col("cleaned_text"), F.lit(FRAME_TAIL)))
-    return out.drop("_html", "_page", "_bare", "_folded", "_parts", "findings", "top_finding", "n_findings")
+    note = F.when(page["stripped"], F.array(F.struct(F.lit("invisible_unicode").alias("reason"), F.lit(INVISIBLE_NOTE).alias("text")))).otherwise(F.array().cast(REMOVED))
+
+    def rewritten(x: Column) -> Column:
+        commands = F.transform(F.filter(x["parts"], lambda p: p["bad"]), lambda p: F.struct(F.lit("stripped_instruction").alias("reason"), F.left(D.strip(p["s"]), F.lit(200)).alias("text")))
+        kept = F.array_join(F.transform(F.filter(x["parts"], lambda p: ~p["bad"]), lambda p: p["s"]), "")
+        return F.struct(commands.alias("commands"), D.strip(F.regexp_replace(kept, rf"[{P._SPACE}]+", " ")).alias("cleaned"))
+
+    parts = F.transform(sentences(U.fold_look_alikes(page["bare"])), lambda s: F.struct(s.alias("s"), P.is_instruction(s).alias("bad")))
+    out = out.withColumn("_texts", D.let(rewritten, parts=parts))
+    out = out.withColumn("removed", F.concat(hidden, note, F.col("_texts.commands"))).withColumn("cleaned_text", F.col("_texts.cleaned"))
+    out = out.withColumn("safe_prompt", F.concat(F.lit(FRAME_HEAD), F.col("_texts.cleaned"), F.lit(FRAME_TAIL)))
+    return out.drop("_html", "_page", "_texts", "findings", "top_finding", "n_findings")
 
 
 # ---- a simulated agent: it records what it would do and does nothing

@@ -138,8 +138,7 @@ _MIXED_SEED = "іnvoice раper line"
 def mixed_script_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     seeded = F.concat(F.coalesce("text", F.lit("")), F.when(F.pmod("doc_id", F.lit(10)) == 3, "\n" + _MIXED_SEED).otherwise(""))
-    mixed = F.filter(F.split(seeded, U.LINE_ENDS), lambda x: x.rlike("[A-Za-z]") & (F.size(U.scripts_in(x)) > 1))
-    return docs.select("doc_id", F.size(mixed).cast("long").alias("n_lines")).where("n_lines > 0")
+    return docs.select("doc_id", F.size(D.mixed_lines(seeded)).cast("long").alias("n_lines")).where("n_lines > 0")
 
 
 def _scanned(spark, sf_dir) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import random
-import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,25 +54,28 @@ def backoff(attempt: int, retry_after: str | None = None, draw: Callable[[], flo
     return base * (1 + JITTER_BACKOFF * draw())
 
 
+def due(last: float | None, now: float, rate: float, drawn: float) -> float:
+    """When a host may be asked again that was last asked at `last`: 1/rate seconds later and some jitter more, or at
+    once. A rate of 0 or less sets no pace."""
+    return now if last is None or rate <= 0 else max(now, last + (1 + JITTER_PACE * drawn) / rate)
+
+
+@dataclass
 class Pacer:
-    """Keeps requests to a host at least 1/rate seconds apart, with some jitter."""
+    """Paces the requests of one task, which asks one at a time; what else asks its hosts is in no other task."""
 
-    def __init__(self, rate: float, clock=time.monotonic, sleep=time.sleep, draw=random.random):
-        self.gap, self.clock, self.sleep, self.draw = 1 / rate, clock, sleep, draw
-        self.next: dict[str, float] = {}
-        self.locks: dict[str, threading.Lock] = {}
-        self.guard = threading.Lock()
+    rate: float
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
+    draw: Callable[[], float] = random.random
+    asked: dict[str, float] = field(default_factory=dict)
 
     def wait(self, host: str) -> float:
-        with self.guard:
-            lock = self.locks.setdefault(host, threading.Lock())
-        with lock:
-            now = self.clock()
-            pause = max(0.0, self.next.get(host, 0.0) - now)
-            if pause:
-                self.sleep(pause)
-            self.next[host] = now + pause + self.gap * (1 + JITTER_PACE * self.draw())
-            return pause
+        now = self.clock()
+        self.asked[host] = due(self.asked.get(host), now, self.rate, self.draw())
+        if (pause := self.asked[host] - now) > 0:
+            self.sleep(pause)
+        return pause
 
 
 def direct(method: str, url: str, body: bytes | None) -> tuple[int, str, dict[str, str]]:
@@ -140,6 +142,3 @@ def json_or_none(status: int, text: str | None):
     except ValueError:
         return None
 
-
-def counted(rows: list[dict]) -> Counter:
-    return Counter(r["outcome"] for r in rows)
