@@ -1,4 +1,4 @@
-"""Command line: file, url, board, sweep, render, image, pdf, docx, sanitize and legacy."""
+"""Command line: file, url, live, board, sweep, render, image, pdf, docx, sanitize and legacy."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilsift.operators import legacy, media, report, rewrite, rollup
 from veilsift.operators.reduce import reduced, scan, scan_records
-from veilsift.sources import boards, files, http
+from veilsift.sources import boards, files, http, live
 
 FAILED = 3
 
@@ -32,7 +32,9 @@ def _say(scanned: DataFrame, source: str, fmt: str) -> int:
 
 def _pages(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     if getattr(a, "url", None):
-        answer = http.fetch(spark.createDataFrame([("GET", a.url, None)], http.REQUEST), rate=a.rate).first()
+        asked = spark.createDataFrame([("GET", a.url, None)], http.REQUEST)
+        answers = live.ask(asked.withColumn("key", http.key_column()), a.cache, a.rate) if a.cache else http.fetch(asked, rate=a.rate)
+        answer = answers.first() or {"status": 0, "text": ""}
         if answer["status"] != 200 or not answer["text"]:
             print(f"{a.url}\n  fetch failed (status={answer['status']})")
             return None
@@ -40,6 +42,27 @@ def _pages(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     return files.pages(spark, a.path)
 
 
+def _board(captures: DataFrame, a: argparse.Namespace) -> int:
+    if a.ats not in boards.CONNECTORS:
+        print(f"board {a.ats}:{a.token}  error: unknown board system")
+        return FAILED
+    scanned = scan_records(boards.postings(captures, a.ats, a.max_jobs)).persist()
+    n, error = scanned.count(), boards.errors(captures).first()
+    if error and not n:
+        print(f"board {a.ats}:{a.token}  error: {error['error']}")
+        return FAILED
+    rows = rollup.hits(scanned).collect()
+    if a.format == "text":
+        print(f"board {a.ats}:{a.token}  jobs_scanned={n}  flagged={len(rows)}")
+        for r in rows:
+            print(f"  [{r['label']:9} score={r['score']:3}] {r['title'][:60]}", f"      {r['vector']}: {r['evidence'][:120]!r}", *([f"      {r['url']}"] if r["url"] else []), sep="\n")
+    else:
+        named = F.coalesce(F.nullif("url", F.lit("")), F.nullif("title", F.lit("")), "job_id")
+        items = scanned.where("label IS NOT NULL").select(F.struct(-F.col("score"), "job_id").alias("item"), named.alias("source"), F.array("top_finding").alias("findings"))
+        print(report.dumps(items, a.format))
+    return code_of([r["label"] for r in rows])
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
     if a.cmd in ("file", "url"):
@@ -68,13 +91,14 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         row = legacy.legacy_scan(files.pages(spark, a.path)).first()
         print(f"{a.path}\n  risk_score={row['risk_score']}  verdict={row['verdict']}  findings={len(row['findings'])}")
         return 0
+    if a.cmd == "live":
+        found = live.captures(files.targets(spark, a.targets), a.folder, a.max_jobs, a.rate)
+        found.write.mode("overwrite").parquet(f"{a.folder}/captures")
+        print(f"{a.folder}/captures  rows={spark.read.parquet(f'{a.folder}/captures').count()}")
+        return 0
     captures = spark.read.parquet(a.captures)
     if a.cmd == "board":
-        captures = captures.where((F.col("ats") == a.ats) & (F.col("board") == a.token))
-        scanned = scan_records(boards.postings(captures, a.ats, a.max_jobs))
-        rows = rollup.hits(scanned).collect()
-        print(f"board {a.ats}:{a.token}  flagged={len(rows)}", *(f"  [{r['label']:9} score={r['score']:3}] {r['title'][:60]}" for r in rows), sep="\n")
-        return code_of([r["label"] for r in rows])
+        return _board(captures.where((F.col("ats") == a.ats) & (F.col("board") == a.token)), a)
     targets = files.targets(spark, a.targets)
     wanted = captures.join(targets.select("ats", "board"), ["ats", "board"], "left_semi")
     scanned = scan_records(boards.all_postings(wanted, a.max_jobs))
@@ -100,8 +124,12 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("file", "path", fmt=True).set_defaults(url=None)
-    command("url", "url", fmt=True, rate=2.0).set_defaults(path=None)
-    board = command("board", "captures", "ats", "token")
+    url = command("url", "url", fmt=True, rate=2.0)
+    url.set_defaults(path=None)
+    url.add_argument("--cache")
+    lively = command("live", "targets", "folder", rate=1.0)
+    lively.add_argument("--max-jobs", type=int, default=boards.DEFAULT_MOST)
+    board = command("board", "captures", "ats", "token", fmt=True)
     board.add_argument("--max-jobs", type=int)
     sweep = command("sweep", "captures", "targets")
     sweep.add_argument("--out", required=True)
@@ -113,6 +141,7 @@ def parser() -> argparse.ArgumentParser:
     one = clean.add_mutually_exclusive_group(required=True)
     one.add_argument("--file", dest="path")
     one.add_argument("--url")
+    clean.add_argument("--cache")
     command("legacy", "path")
     return p
 
