@@ -41,22 +41,23 @@ def unescape_role(role: bytes) -> bytes:
     return ROLE_ESCAPED.sub(lambda m: b"\n" if m[1] == b"n" else m[1], unescape(role)) if b"\\" in role else role
 
 
-def assemble(segments: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """One buffer that holds the rows of a table of byte strings, cell after cell, and where each cell begins.
+def assemble(segments: list[list[bytes]]) -> tuple[pa.Buffer, np.ndarray]:
+    """One Arrow buffer that holds the rows of a table of byte strings, cell after cell, and where each cell begins.
 
     A column's cells lie one after another in their own buffer. The lengths give each cell's place in the
-    result, and one scatter a column copies it there.
+    result, which is allocated once, and one scatter a column copies it there.
     """
     lengths = np.array([np.fromiter(map(len, c), np.int64, len(c)) for c in segments]).T
     ends = np.cumsum(lengths.ravel()).reshape(lengths.shape)
     starts = ends - lengths
-    out = np.empty(int(ends[-1, -1]) if lengths.size else 0, np.uint8)
+    buffer = pa.allocate_buffer(int(ends[-1, -1]) if lengths.size else 0)
+    out = np.frombuffer(buffer, np.uint8)
     for k, column in enumerate(segments):
         source = np.frombuffer(b"".join(column), np.uint8)
         length = lengths[:, k]
         begin = np.cumsum(length) - length
         out[np.repeat(starts[:, k] - begin, length) + np.arange(len(source))] = source
-    return out, starts
+    return buffer, starts
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_format, PIECES)
 
 
-_PIECE = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("last", pa.bool_()), ("formatted", pa.large_binary()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_SPAN = [pa.field("start", pa.int64()), pa.field("end", pa.int64())]
+_PIECE = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("last", pa.bool_()), ("formatted", pa.binary()), ("loss", pa.list_(pa.struct(_SPAN)))])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[bytes]]]:
@@ -102,35 +104,42 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]
         yield ids, roles, texts
 
 
+def _pieces(ids: list, roles: list[bytes], texts: list[bytes]) -> tuple[list, pa.Array, pa.Array, pa.Array]:
+    """A run's pieces in columns: conv_id, n_turns, formatted, loss. The assembled buffer itself is what formatted
+    holds, cut by offsets."""
+    n = len(ids)
+    buffer, starts = assemble([[OPEN] * n, [escape_role(r) for r in roles], [NEWLINE] * n, [escape(t) for t in texts], [CLOSE] * n])
+    edges = np.array([0, *(i for i in range(1, n) if ids[i] != ids[i - 1]), n])
+    offsets = np.append(starts[edges[:-1], 0], buffer.size)
+    formatted = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.array(offsets).cast(pa.int32()).buffers()[1], buffer])
+    said = np.flatnonzero([r == b"assistant" for r in roles])
+    base = offsets[np.searchsorted(edges, said, "right") - 1]
+    spans = pa.StructArray.from_arrays([pa.array(starts[said, k] - base) for k in (3, 4)], fields=_SPAN)
+    loss = pa.ListArray.from_arrays(pa.array(np.searchsorted(said, edges)).cast(pa.int32()), spans)
+    return [ids[i] for i in edges[:-1]], pa.array(np.diff(edges)), formatted, loss
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    waiting: list[dict] = []  # the last piece so far; whether it is its conversation's last shows with the next row
-    number = 0
-    for ids, roles, texts in _runs(batches):
-        escaped = [escape(t) for t in texts]
-        n = len(ids)
-        buffer, starts = assemble([[OPEN] * n, [escape_role(r) for r in roles], [NEWLINE] * n, escaped, [CLOSE] * n])
-        raw = buffer.tobytes()
-        edges = [0, *(i for i in range(1, n) if ids[i] != ids[i - 1]), n]
-        ends = [*starts[1:, 0].tolist(), len(raw)]
-        rows = waiting
-        for a, b in zip(edges, edges[1:], strict=False):
-            if rows and rows[-1]["conv_id"] == ids[a]:
-                number += 1
-                rows[-1]["last"] = False
-            else:
-                number = 0
-            base = int(starts[a, 0])
-            loss = [{"start": int(starts[i, 3]) - base, "end": int(starts[i, 4]) - base} for i in range(a, b) if roles[i] == b"assistant"]
-            rows.append({"conv_id": ids[a], "piece": number, "n_turns": b - a, "last": True, "formatted": raw[base : ends[b - 1]], "loss": loss})
-        waiting = rows[-1:]
-        if rows[:-1]:
-            yield from _record(rows[:-1])
-    if waiting:
-        yield from _record(waiting)
-
-
-def _record(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_pylist(rows, _PIECE.set(4, pa.field("formatted", pa.binary())))
+    # A run waits for the next one, which shows whether its last piece is its conversation's last.
+    waiting, number = None, 0
+    for run in _runs(batches):
+        pieces = _pieces(*run)
+        goes_on = waiting is not None and waiting[0][-1] == pieces[0][0]
+        if waiting is not None:
+            yield _record(waiting, number, goes_on)
+            number = (number if len(waiting[0]) == 1 else 0) + 1 if goes_on else 0
+        waiting = pieces
+    if waiting is not None:
+        yield _record(waiting, number, False)
+
+
+def _record(pieces: tuple, number: int, goes_on: bool) -> pa.RecordBatch:
+    """Pieces as rows. A run has at most one piece of a conversation, the first of which has the given number."""
+    ids, n_turns, formatted, loss = pieces
+    n = len(ids)
+    numbers = pa.array([number] + [0] * (n - 1), pa.int64())
+    last = pa.array([True] * (n - 1) + [not goes_on], pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), numbers, n_turns, last, formatted, loss], schema=_PIECE)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
