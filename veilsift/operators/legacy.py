@@ -39,7 +39,7 @@ def absent_in_render(source: Column, rendered: Column) -> Column:
     """Instructing segments of what a page says that its rendering doesn't show."""
     shown = F.lower(F.regexp_replace(rendered, rf"[{P._SPACE}]+", " "))
     parts = F.transform(F.split(source, r"[.\n]"), D.strip)
-    gone = F.filter(parts, lambda s: (F.length(s) > 20) & (F.instr(shown, F.lower(s)) == 0) & P.is_keyword(s))
+    gone = F.filter(parts, lambda s: (F.length(s) > 20) & ~shown.contains(F.lower(s)) & P.is_keyword(s))
     return F.when(rendered.isNull(), D.nothing()).otherwise(F.transform(gone, lambda s: D.finding(5, "present_in_source_absent_in_render", F.left(s, F.lit(200)), "high", "n/a")))
 
 

@@ -47,19 +47,20 @@ def ingestion_diff(human: Column, machine: Column) -> Column:
         level = F.when(P.is_instruction(x["s"]), "high").otherwise("low")
         return D.finding(1, "ingestion_diff", text(x["s"]), level, level)
 
-    def hidden(x: Column) -> Column:
-        keyed = F.transform(x["parts"], lambda s: F.struct(normal(s).alias("k"), s.alias("s")))
-        return F.filter(keyed, lambda p: (p["k"] != "") & (F.instr(x["seen"], p["k"]) == 0))
+    def placed(x: Column) -> Column:
+        """Segments by key and place. Those that a person sees as segments come before all others of their key, so that
+        equal ones needn't be searched in the text; but a sigma's small form goes by what stands around it."""
+        shown = F.filter(F.transform(x["own"], normal), lambda k: ~k.rlike("[\u03c3\u03c2]"))
+        shown = F.transform(shown, lambda k: F.struct(k.alias("k"), F.lit(-1).alias("i"), F.lit("").alias("s")))
+        return F.array_sort(F.concat(shown, F.transform(x["parts"], lambda s, i: F.struct(normal(s).alias("k"), i.alias("i"), s.alias("s")))))
 
     def once(x: Column) -> Column:
-        """By key and place, the first of each key; then by place again."""
-        fresh = F.filter(x["h"], lambda p, i: (i == 0) | (p["k"] != F.get(x["h"], i - 1)["k"]))
-        return F.transform(F.array_sort(F.transform(fresh, lambda p: F.struct(p["i"], p["s"].alias("s")))), one)
-
-    def placed(x: Column) -> Column:
-        return F.array_sort(F.transform(hidden(x), lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["s"].alias("s"))))
+        """The first of each key, unless it is seen; then by place again."""
+        fresh = F.filter(x["h"], lambda p, i: (p["i"] >= 0) & (p["k"] != "") & ((i == 0) | (p["k"] != F.get(x["h"], i - 1)["k"])))
+        hidden = F.filter(fresh, lambda p: ~x["seen"].contains(p["k"]))
+        return F.transform(F.array_sort(F.transform(hidden, lambda p: F.struct(p["i"], p["s"].alias("s")))), one)
 
-    return D.let(lambda x: D.let(once, h=placed(x)), seen=normal(human), parts=segments(machine))
+    return D.let(lambda x: D.let(once, h=placed(x), seen=x["seen"]), seen=normal(human), own=segments(human), parts=segments(machine))
 
 
 def diff_pages(df: DataFrame, html_col: str = "html") -> DataFrame:

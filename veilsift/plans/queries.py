@@ -10,7 +10,8 @@ from veilsift.functions import unicode_ops as U
 from veilsift.operators import detectors as D
 from veilsift.operators import legacy, media, report, rewrite, rollup
 from veilsift.operators import reduce as R
-from veilsift.plans.seeded import EXPECTED_SQL, MODULUS, SEEDED_SQL, VECTORS_SQL, quoted, seeded_pages
+from veilsift.plans import found_sql as S
+from veilsift.plans.seeded import SEEDED_SQL, quoted, seeded_pages
 from veilsift.sources import boards, files, http
 
 QUERIES: dict = {}
@@ -145,22 +146,30 @@ def _scanned(spark, sf_dir) -> DataFrame:
     return R.scan(seeded_pages(spark, sf_dir))
 
 
-@query(f"WITH {EXPECTED_SQL} SELECT page_id, coalesce(score, 0) AS score, label, coalesce(n_findings, 0) AS n_findings FROM pages LEFT JOIN expected ON page_id % {MODULUS} = k")
+@query(f"WITH {S.REDUCED_SQL} SELECT page_id, score, label, n_findings FROM reduced")
 def page_label(spark, sf_dir):
     return _scanned(spark, sf_dir).select("page_id", "score", "label", "n_findings")
 
 
-@query(f"WITH {VECTORS_SQL} SELECT page_id, vector, n::BIGINT AS n FROM pages JOIN vectors ON page_id % {MODULUS} = k")
+@query(f"WITH {S.PIECES_SQL} SELECT page_id, vector, count(*) AS n FROM findings GROUP BY ALL")
 def page_vectors(spark, sf_dir):
     return D.exploded(_scanned(spark, sf_dir), "page_id").groupBy("page_id", "vector").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {S.PIECES_SQL} SELECT page_id, ord, stage, vector, evidence, severity, confidence FROM findings")
 def page_findings(spark, sf_dir):
     return D.exploded(_scanned(spark, sf_dir), "page_id")
 
 
-@query()
+@query(f"WITH {S.REDUCED_SQL} SELECT page_id, score, label, vector, evidence, severity FROM reduced WHERE label IS NOT NULL")
+def top_findings(spark, sf_dir):
+    top = F.col("top_finding")
+    return _scanned(spark, sf_dir).where("label IS NOT NULL").select("page_id", "score", "label", top["vector"].alias("vector"), top["evidence"].alias("evidence"), top["severity"].alias("severity"))
+
+
+@query(
+    f"WITH {S.LEGACY_SQL} SELECT page_id, coalesce(score, 0) AS risk_score, CASE WHEN coalesce(score, 0) >= 80 THEN 'BLOCK' WHEN coalesce(score, 0) >= 40 THEN 'REVIEW' ELSE 'OK' END AS verdict, coalesce(n, 0) AS n_findings FROM pages LEFT JOIN risks USING (page_id)"
+)
 def legacy_verdicts(spark, sf_dir):
     return legacy.legacy_scan(seeded_pages(spark, sf_dir)).select("page_id", "risk_score", "verdict", F.size("findings").alias("n_findings"))
 
@@ -174,7 +183,7 @@ def _as_postings(pages: DataFrame) -> DataFrame:
 
 
 @query(
-    f"WITH {EXPECTED_SQL}, p AS (SELECT {_HOST} AS company, label FROM pages LEFT JOIN expected ON page_id % {MODULUS} = k) "
+    f"WITH {S.REDUCED_SQL}, p AS (SELECT {_HOST} AS company, label FROM reduced) "
     "SELECT company, 'greenhouse' AS ats, company AS board, count(*) AS jobs_scanned, count(label) AS n_hits, count(*) FILTER (WHERE label = 'CONFIRMED') AS n_confirmed, NULL::VARCHAR AS error FROM p GROUP BY company"
 )
 def board_rollup(spark, sf_dir):
@@ -182,7 +191,7 @@ def board_rollup(spark, sf_dir):
 
 
 @query(
-    f"WITH {EXPECTED_SQL}, b AS (SELECT {_HOST} AS company, count(*) AS jobs, count(label) AS hits, count(*) FILTER (WHERE label = 'CONFIRMED') AS sure FROM pages LEFT JOIN expected ON page_id % {MODULUS} = k GROUP BY 1) "
+    f"WITH {S.REDUCED_SQL}, b AS (SELECT {_HOST} AS company, count(*) AS jobs, count(label) AS hits, count(*) FILTER (WHERE label = 'CONFIRMED') AS sure FROM reduced GROUP BY 1) "
     "SELECT count(*) AS companies_targeted, count(*) FILTER (WHERE jobs > 0) AS companies_reachable, sum(jobs)::BIGINT AS total_jobs_scanned, count(*) FILTER (WHERE hits > 0) AS companies_with_hits, "
     "count(*) FILTER (WHERE sure > 0) AS companies_confirmed, array_to_string(list_sort(list(company) FILTER (WHERE sure > 0)), ',') AS confirmed_companies FROM b"
 )
@@ -255,23 +264,35 @@ def prefilter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(P.worth_judging(F.col("text"))).select("doc_id")
 
 
-@query(f"WITH {VECTORS_SQL} SELECT vector, 'veilsift/' || vector AS rule_id, sum(n)::BIGINT AS n_results FROM pages JOIN vectors ON page_id % {MODULUS} = k GROUP BY vector")
+@query(f"WITH {S.PIECES_SQL} SELECT vector, 'veilsift/' || vector AS rule_id, count(*) AS n_results FROM findings GROUP BY vector")
 def sarif_rules(spark, sf_dir):
     items = _scanned(spark, sf_dir).select(F.col("page_id").alias("item"), F.col("url").alias("source"), "findings")
     return report.rules(items).select("vector", "rule_id", "n_results")
 
 
-@query()
+_SAID = """'{"ruleId":"veilsift/' || vector || '","level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END || '","message":{"text":' || to_json(vector || ': ' || evidence) || '},"locations":[{"physicalLocation":{"artifactLocation":{"uri":' || to_json(url) || '}}}],"properties":{"severity":"' || severity || '","confidence":"' || confidence || '"}}'"""
+
+
+@query(f"WITH {S.PIECES_SQL} SELECT page_id AS item, ord, vector, {_SAID} AS result FROM findings JOIN seen USING (page_id)")
 def sarif_results(spark, sf_dir):
     return report.result_rows(_scanned(spark, sf_dir).select(F.col("page_id").alias("item"), F.col("url").alias("source"), "findings"))
 
 
-@query()
+_QUOTED = "CASE WHEN contains(c, chr(39)) AND NOT contains(c, chr(34)) THEN chr(34) || c || chr(34) ELSE chr(39) || replace(c, chr(39), chr(92) || chr(39)) || chr(39) END"
+
+
+@query(
+    f"WITH {S.DIFF_SQL} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS ord, 1 AS stage, 'ingestion_diff' AS vector, 'present for extractor, absent for human: ' || {_QUOTED} AS evidence, 'high' AS severity, 'high' AS confidence "
+    "FROM (SELECT page_id, i, replace(replace(left(s, 160), chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't') AS c FROM missed)"
+)
 def ingestion_diff(spark, sf_dir):
     return D.exploded(rewrite.diff_pages(seeded_pages(spark, sf_dir)), "page_id")
 
 
-@query()
+@query(
+    f"WITH {S.SANITIZE_SQL} SELECT r.page_id, label, score, coalesce(n, 0) AS n_removed, coalesce(removed, '[]') AS removed, coalesce(c, '') AS cleaned_text, {quoted(rewrite.FRAME_HEAD)} || coalesce(c, '') || {quoted(rewrite.FRAME_TAIL)} AS safe_prompt "
+    "FROM reduced r LEFT JOIN listed USING (page_id) LEFT JOIN cleaned USING (page_id)"
+)
 def sanitize(spark, sf_dir):
     return rewrite.sanitize(seeded_pages(spark, sf_dir)).select("page_id", "label", "score", F.size("removed").alias("n_removed"), F.to_json("removed").alias("removed"), "cleaned_text", "safe_prompt")
 
@@ -332,12 +353,18 @@ def severity_points(spark, sf_dir):
     return rows.groupBy("vector", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum(R.points(F.col("severity"))).cast("long").alias("points"))
 
 
+#: A renderer shows no line that holds one of these; an extractor reads them all.
+_UNSHOWN = r"m)^[^\n#*$%&|<>]*[#*$%&|<>][^\n]*"
+_ONE_SPACE = lambda x: rf"lower(trim(regexp_replace({x}, '\s+', ' ', 'g')))"
+
+
 @query(
-    "WITH s AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS turn, k FROM (SELECT doc_id, i, trim(ps[i], ' ' || chr(9)) AS t, lower(regexp_replace(trim(ps[i], ' ' || chr(9)), '\\s+', ' ', 'g')) AS k FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.\\n\\r;]+') AS ps FROM documents), unnest(range(1, len(ps) + 1)) AS u(i))) "
-    "SELECT d.doc_id, count(s.t) AS n_segments FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND s.turn = 1 AND length(s.t) >= 8 AND NOT contains(lower(regexp_replace(substr(coalesce(d.text, ''), 1, 200), '\\s+', ' ', 'g')), s.k) GROUP BY d.doc_id"
+    f"WITH s AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS turn, k FROM (SELECT doc_id, i, trim(ps[i], ' ' || chr(9)) AS t, {_ONE_SPACE('ps[i]')} AS k FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.\\n\\r;]+') AS ps FROM documents), unnest(range(1, len(ps) + 1)) AS u(i))), "
+    f"v AS (SELECT doc_id, {_ONE_SPACE(f"regexp_replace(coalesce(text, ''), '(?{_UNSHOWN}', '', 'g')")} AS shown FROM documents) "
+    "SELECT v.doc_id, count(s.t) AS n_segments FROM v LEFT JOIN s ON s.doc_id = v.doc_id AND s.turn = 1 AND length(s.t) >= 8 AND NOT contains(shown, s.k) GROUP BY v.doc_id"
 )
 def unseen_segments(spark, sf_dir):
-    """Segments of a text that its first 200 characters, as all that a person is shown, don't hold."""
+    """Segments of a text that aren't among its shown lines."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(rewrite.ingestion_diff(F.left(text, F.lit(200)), text)).cast("long").alias("n_segments"))
-
+    shown = F.regexp_replace(text, "(?d" + _UNSHOWN, "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(rewrite.ingestion_diff(shown, text)).cast("long").alias("n_segments"))

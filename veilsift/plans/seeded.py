@@ -63,7 +63,3 @@ SEEDED_SQL = (
     + ", ".join(f"({k}, {quoted(s)})" for k, s, *_ in SNIPPETS)
     + f"), seeded AS (SELECT page_id, url, coalesce(html, '') || coalesce(snippet, '') AS html FROM pages LEFT JOIN seeds ON page_id % {MODULUS} = k)"
 )
-
-EXPECTED_SQL = "expected(k, score, label, n_findings) AS (VALUES " + ", ".join(f"({k}, {score}, {quoted(label)}, {sum(v.values())})" for k, _, score, label, v in SNIPPETS) + ")"
-
-VECTORS_SQL = "vectors(k, vector, n) AS (VALUES " + ", ".join(f"({k}, {quoted(v)}, {n})" for k, *_, found in SNIPPETS for v, n in found.items() if n) + ")"
