@@ -88,7 +88,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         print(*(f"{a.path}\n  verdict={r['verdict']}  hidden_nodes={len(r['hidden'] or [])}  pseudo={len(r['pseudo'] or [])}" for r in rows), sep="\n")
         return FAILED if not rows or not all(r["ok"] for r in rows) else code_of([r["verdict"] for r in rows])
     if a.cmd == "legacy":
-        row = legacy.legacy_scan(files.pages(spark, a.path)).first()
+        row = legacy.legacy_scan(files.responses(spark, a.path)).first()
         print(f"{a.path}\n  risk_score={row['risk_score']}  verdict={row['verdict']}  findings={len(row['findings'])}")
         return 0
     if a.cmd == "live":

@@ -47,12 +47,53 @@ def linked_pdfs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?i)href=["']([^"']+\.pdf)["']"""), 1)
 
 
-def legacy_scan(df: DataFrame, html_col: str = "html", rendered_col: str | None = None) -> DataFrame:
-    """df with findings in order of severity, risk_score and verdict. Evidence isn't cut a second time here."""
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are carried out; .. beyond the root is dropped."""
+    none = F.array().cast("array<string>")
+    step = lambda done, s: F.when(s == ".", done).when((s == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.size(done) - 1)).when(s == "..", done).otherwise(F.concat(done, F.array(s)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), none, step), "/"))
+
+
+def resolved(url: Column, href: Column) -> Column:
+    """Where a link in the page at url leads."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+    base = F.regexp_replace(url, r"(?s)[?#].*\z", "")
+    origin = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*", 0)
+    path = F.substr(base, F.length(origin) + 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    head = F.regexp_extract(href, r"(?s)^[^?#]*", 0)
+    tail = F.substr(href, F.length(head) + 1)
+    return (
+        F.when(href.rlike(scheme), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, scheme, 0), href))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(url, r"(?s)#.*\z", ""), href))
+        .when(head == "", F.concat(base, href))
+        .otherwise(F.concat(origin, _without_dots(F.when(head.startswith("/"), head).otherwise(F.concat(folder, head))), tail))
+    )
+
+
+def pdf_links(pages: DataFrame, *keys: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A row per link to a PDF: the keys, ord (its place in the page) and pdf_url. Pages without url have none."""
+    links = pages.select(*keys, F.col(url_col).alias("_url"), F.posexplode(linked_pdfs(F.col(html_col))).alias("ord", "_href"))
+    return links.select(*keys, "ord", resolved(F.col("_url"), F.col("_href")).alias("pdf_url")).where("pdf_url IS NOT NULL")
+
+
+def with_linked_texts(pages: DataFrame, texts: DataFrame, *keys: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """pages with pdf_texts: what is captured (pdf_url, text) of the PDF files that each links to, in order; a link that
+    comes twice counts twice. keys tell pages apart. Only pages with links meet the captures."""
+    found = pdf_links(pages, *keys, url_col=url_col, html_col=html_col).join(texts.select("pdf_url", "text").where("text IS NOT NULL"), "pdf_url")
+    listed = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("pdf_texts"))
+    return pages.join(listed, [*keys], "left")
+
+
+def legacy_scan(df: DataFrame, html_col: str = "html", rendered_col: str | None = None, pdfs_col: str | None = None) -> DataFrame:
+    """df with findings in order of severity, risk_score and verdict. Evidence isn't cut a second time here.
+    rendered_col: the text of the rendered page; pdfs_col: an array of the texts of linked PDF files. Null is none."""
     page, html = F.col("_page"), F.col("_html")
     folded = U.fold_look_alikes(page["normal"])
     tokens = _tokens(page["tokens"])
     rendered = F.col(rendered_col) if rendered_col else F.lit(None).cast("string")
+    pdfs = F.coalesce(F.col(pdfs_col), F.array().cast("array<string>")) if pdfs_col else F.array().cast("array<string>")
     said = F.concat(U.strip_invisible(page["visible"]), F.lit(" "), F.array_join(F.transform(tokens, lambda f: f["evidence"]), " "))
     every = F.concat(
         tokens,
@@ -60,6 +101,7 @@ def legacy_scan(df: DataFrame, html_col: str = "html", rendered_col: str | None
         keyword_sweep(page["visible"], "visible_text"),
         F.when(folded != page["normal"], keyword_sweep(folded, "homoglyph_folded")).otherwise(D.nothing()),
         absent_in_render(said, rendered),
+        F.flatten(F.transform(pdfs, lambda text: keyword_sweep(text, "pdf"))),
     )
     rank = lambda s: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), s), F.lit(4))
     placed = F.transform(every, lambda f, i: F.struct(rank(f["severity"]).alias("rank"), i.alias("i"), f.alias("f")))

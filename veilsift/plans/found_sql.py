@@ -56,7 +56,7 @@ PIECES_SQL = (
 ), texts AS (
   SELECT page_id, i, """
     + f"CASE kind WHEN 'text' THEN {strip(unescaped('p'))} WHEN 'script' THEN {strip(_INNER('script'))} ELSE {strip(_INNER('style'))} END AS t, "
-    + r"""CASE WHEN kind = 'script' AND p LIKE '%ld+json%' THEN 'linked' WHEN kind <> 'text' THEN 'shown' WHEN tag LIKE '%display:none%' THEN 'hidden' WHEN tag LIKE '%sr-only%' THEN 'read' ELSE 'shown' END AS how
+    + r"""CASE WHEN kind = 'script' AND p LIKE '%ld+json%' THEN 'linked' WHEN kind <> 'text' THEN 'shown' WHEN regexp_matches(tag, 'display:none|visibility:hidden|color:#fff') THEN 'hidden' WHEN tag LIKE '%sr-only%' THEN 'read' ELSE 'shown' END AS how
   FROM tagged WHERE kind IN ('text', 'script', 'style')
 ), seen AS (
   SELECT s.page_id, any_value(s.url) AS url, any_value(s.html) AS html, """

@@ -17,6 +17,12 @@ def fetched(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """path and html of stored responses."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", fetched(F.col("content")).alias("html"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Targets of a JSON list: company, ats, board. Entries without system or token don't count."""
     rows = spark.read.schema("company string, ats string, token string").option("multiLine", True).json(path)
