@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import documents
+from veilsift.llm.common import ddl, documents, numbered, others, tick
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose distinct words are replayed together.
@@ -240,12 +240,12 @@ def bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digest
 
     path is a file of ranks that every executor can open; pattern splits texts into words. Null counts as
     empty and gives no tokens. Texts may be of any length, rows may repeat, other columns pass unchanged;
-    columns named like the results are replaced. A table without rows gives none.
+    columns named like the results, whatever the case, are replaced. A table without rows gives none.
     """
     added = {"n_tokens": pa.int64()} | ({"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {"ids": pa.binary(), "decoded": pa.binary()})
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    rest = [f for f in docs.schema.fields if f.name != text_col and f.name not in added]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {names[t]}" for c, t in added.items()])
+    rest = others(docs, text_col, *added)
+    schema = ddl(rest, *(f"{c} {names[t]}" for c, t in added.items()))
     rest_names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digest
         bytes_of = ranks.token.__getitem__
         for batch in batches:
             at = 0
-            for part in shards(batch.column(batch.schema.get_field_index("_text")).to_pylist()):
+            for part in shards(batch.column(len(rest_names)).to_pylist()):
                 out: dict[str, list] = {c: [] for c in added}
                 for ids in encode_texts(part, ranks, pattern):
                     decoded = b"".join(map(bytes_of, ids.tolist()))
@@ -265,7 +265,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digest
                 at += len(part)
                 yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(rest_names))] + [pa.array(out[c], t) for c, t in added.items()], names=[*rest_names, *added])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest_names], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*numbered(rest), F.col(tick(text_col)).alias("_text")).mapInArrow(run, schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

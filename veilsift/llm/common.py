@@ -7,9 +7,11 @@ import contextlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 #: A word is a run of anything but these: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +21,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with more underscores before those that are taken; Spark's names ignore case."""
+    known = {n.lower() for n in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in known:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def others(docs: DataFrame, *names: str) -> list[StructField]:
+    """The columns of docs but those with one of the names, whatever the case."""
+    gone = {n.lower() for n in names}
+    return [f for f in docs.schema.fields if f.name.lower() not in gone]
+
+
+def tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl(fields: list[StructField], *more: str) -> str:
+    return ", ".join([f"{tick(f.name)} {f.dataType.simpleString()}" for f in fields] + list(more))
+
+
+def numbered(fields: list[StructField]) -> list[Column]:
+    """Columns as c0, c1 and so on: on their way through Python they may be named anything, so they go by place."""
+    return [F.col(tick(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null. Counting where words begin keeps no list of them."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

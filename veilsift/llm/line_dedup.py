@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import discard, documents, materialize
+from veilsift.llm.common import ddl, discard, documents, materialize, numbered, others, tick
 from veilsift.llm.quality import slices
 
 #: A run of fewer words is no passage; it may come again in any text.
@@ -136,17 +136,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words are no part of the sequence. Lines are equal if their bytes are; they are told apart by 128-bit hashes.
 
     Null texts stay null, with no lines. Null ids come before others. Rows equal in id and text are one document
-    here and get equal results. An empty table stays empty; columns named like the results are replaced.
+    here and get equal results. An empty table stays empty; columns named like the results, whatever the case, are replaced.
     """
     added = ["n_lines", "n_deleted", "deleted"]
-    rest = [f for f in docs.schema.fields if f.name not in (text_col, *added)]
+    rest = others(docs, text_col, *added)
     names = [f.name for f in rest]
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_tag"), F.col(text_col).alias("_text"))
     found = repeated_runs(rows, min_words).groupBy("_id", "_tag").agg(F.collect_set(F.struct("pos", "n")).alias("_runs"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_text")).withColumn("_tag", F.xxhash64("_text"))
-    found = found.select(F.col("_id").alias("_found"), F.col("_tag").alias("_of"), "_runs")
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["_found"]) & (keyed["_tag"] == found["_of"]), "left").select(*[keyed[f"`{c}`"] for c in names], "_text", "_runs")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{text_col}` string", "n_lines long", "n_deleted long", "deleted string"])
+    keyed = docs.select(*numbered(rest), F.col(tick(id_col)).alias("_key"), F.col(tick(text_col)).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    joined = keyed.join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tag")), "left").drop("_key", "_hash", "_id", "_tag")
+    schema = ddl(rest, f"{tick(text_col)} string", "n_lines long", "n_deleted long", "deleted string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import documents, shared_dir, word_count
+from veilsift.llm.common import documents, others, shared_dir, tick, unused, word_count
 
 #: Beyond this many sources their rates are joined by shuffle, not broadcast. A row takes about 50 bytes.
 MOST_BROADCAST_SOURCES = 20_000
 
 
+#: Columns that a plan adds.
+PLAN = ("_size", "_source_size", "_target", "_copies")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """Targets of sources. sizes: a row per source with source and source_size.
 
@@ -66,25 +70,30 @@ def mix_plan(
 
     Null text has size 0, null source is a source of its own, rows of size 0 follow the rate like
     others (0 if the whole source is empty). Rows with equal ids share one draw, so repeated rows are
-    repeated alike. Names starting with _ may not be columns of docs.
+    repeated alike. Columns of docs named like the four, whatever the case, are replaced.
     """
-    sized = docs.withColumn("_size", word_count(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"))
+    kept = [f.name for f in others(docs, *PLAN)]
+    sized = docs.select(*[F.col(tick(c)) for c in kept], word_count(F.col(tick(text_col))).alias("_size"))
+    sizes = sized.groupBy(F.col(tick(source_col)).alias("source")).agg(F.sum("_size").alias("source_size"))
     shared_dir(docs.sparkSession)
     rates = source_targets(sizes, weights, most).checkpoint()
     if rates.count() <= MOST_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rates = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    joined = sized.join(rates, sized[source_col].eqNullSafe(F.col("_source"))).drop("_source")
+    (source,) = unused(sized.columns, "_source")
+    rates = rates.select(F.col("source").alias(source), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    joined = sized.join(rates, sized[tick(source_col)].eqNullSafe(rates[source])).drop(source)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (uniform(F.col(id_col), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("_copies", copies)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: the rows of docs, each as often as mix_plan says."""
-    planned = mix_plan(docs, **options)
-    return planned.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mixture itself: the rows of docs, each as often as mix_plan says, with all columns, whatever their names."""
+    hidden = {c: unused([*docs.columns, *PLAN], c)[0] for c in docs.columns if c.lower() in PLAN}
+    planned = mix_plan(docs.withColumnsRenamed(hidden), **options)
+    (copy,) = unused(planned.columns, "_copy")
+    copied = planned.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    return copied.select(*[F.col(tick(hidden.get(c, c))).alias(c) for c in docs.columns])
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import documents
+from veilsift.llm.common import ddl, documents, numbered, others, tick
 
 # The commonest words of four languages with their usual shares of running text.
 COMMON_WORDS = {
@@ -177,13 +177,13 @@ def quality(
 
     Each batch is judged where it lies: no shuffle, and nothing is gathered. Null text has no words and
     fails; an empty table stays empty; repeated rows get equal results; columns of docs named like the
-    results are replaced.
+    results, whatever the case, are replaced.
     """
     longs = list(COUNTS)
     added = [*longs, "base_failed", "class_distance", "word_distance", "kept"]
-    rest = [f for f in docs.schema.fields if f.name not in added]
+    rest = others(docs, *added)
     kinds = {"base_failed": "boolean", "kept": "boolean", "class_distance": "double", "word_distance": "double"}
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {kinds.get(c, 'long')}" for c in added])
+    schema = ddl(rest, *(f"{c} {kinds.get(c, 'long')}" for c in added))
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +204,8 @@ def quality(
                 arrays = [pa.array(m[c]) for c in longs] + [pa.array(failed), pa.array(by_class), pa.array(by_word), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, names=[*names, *added])
 
-    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_text"), lang.alias("_lang")).mapInArrow(run, schema)
+    lang = F.col(tick(lang_col)) if lang_col in docs.columns else F.lit(None).cast("string")
+    return docs.select(*numbered(rest), F.col(tick(text_col)).alias("_text"), lang.alias("_lang")).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 2000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

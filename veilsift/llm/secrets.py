@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import documents
+from veilsift.llm.common import ddl, documents, numbered, others, tick
 from veilsift.llm.quality import slices
 
 # The base patterns and the length that a match needs.
@@ -279,11 +279,11 @@ def secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Kinds are assign, access and hex (fixed patterns) and lexed (literals that assignments give to
     sensitive names). Texts are read whole and where they lie, without shuffle. Null counts as empty and has
-    no spans; an empty table stays empty; repeated rows get equal results; a column named spans is replaced.
+    no spans; an empty table stays empty; repeated rows get equal results; a column named spans, whatever the case, is replaced.
     """
-    rest = [f for f in docs.schema.fields if f.name not in (text_col, "spans")]
+    rest = others(docs, text_col, "spans")
     names = [f.name for f in rest]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["spans array<struct<kind:string,start:long,end:long>>"])
+    schema = ddl(rest, "spans array<struct<kind:string,start:long,end:long>>")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in scan(t or "")[0]] for t in batch.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(rows, kind)], names=[*names, "spans"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*numbered(rest), F.col(tick(text_col)).alias("_text")).mapInArrow(run, schema)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
