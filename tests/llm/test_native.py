@@ -113,6 +113,14 @@ def test_licenses(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_hint_is_in_all_that_is_known(spark):
+    texts = [t for _, t in licenses.known_texts()] + [p.read_text() for p in (pathlib.Path(__file__).parent / "licenses").glob("*.txt")]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(F.col("t")).alias("c"))
+    assert frame.where(~F.col("c").rlike(licenses.HINT)).count() == 0
+    # Letters that only lower-casing would make plain don't make a known text.
+    assert licenses.license_scan(spark.createDataFrame([(1, license_texts.MIT.replace("Permission", "Perm\u0130ssion").replace("i", "\u0130"))], "doc_id long, text string")).first()["license"] is None
+
+
 def test_long_licenses(spark):
     end = "END OF TERMS AND CONDITIONS"
     rows = []

@@ -25,6 +25,11 @@ COPYRIGHT_LINE = r"(?m)^[\s*#/;!-]*(?:(?:copyright|copr\.)[ \t]*(?:\(c\)|©|[0-9
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 
+#: Every known canonical form holds one of these (a test looks). Lower-casing makes none of their letters out of another
+#: that stays in the word, and spellings are replaced only around them, so a text without any has no known digest.
+HINT = r"(?i)licen|permission|permitted|released|distributed"
+
+
 def canonical(text: Column) -> Column:
     """A text in lower case, without copyright lines, with single spaces for all that lies between words, and one
     spelling for equivalent ones."""
@@ -54,7 +59,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     declare, in order of name) and n_notices (such lines).
 
     Texts and lines are brought to one canonical form and joined by its digest to those of known licence texts
-    and declarations, a fixed table that is broadcast. Lines are looked up before anything is shuffled, so
+    and declarations, a fixed table that is broadcast. Those without a word that some known form must hold are not
+    brought there, as they can't match. Lines are looked up before anything is shuffled, so
     only lines that match, and a key for each row, travel.
 
     Null counts as empty and matches nothing. Rows equal in id and text share their notices, so repeated rows
@@ -63,10 +69,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = F.broadcast(known_digests(docs.sparkSession))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_tag"))
-    hits = rows.select("_id", "_tag", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).select("_id", "_tag", "_at", digest(F.col("_line")).alias("_digest"))
+    told = rows.where(F.col("_text").rlike(HINT)).select("_id", "_tag", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
+    hits = told.where(F.col("_line").rlike(HINT)).select("_id", "_tag", "_at", digest(F.col("_line")).alias("_digest"))
     hits = hits.join(known, "_digest").groupBy("_id", "_tag").agg(F.count_distinct("_at").alias("n"), F.array_sort(F.collect_set("license")).alias("notices"))
     hits = hits.select(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), "n", "notices")
-    whole = rows.select("_id", "_tag", digest(F.col("_text")).alias("_digest")).join(known, "_digest", "left").select("_id", "_tag", "license")
+    whole = rows.select("_id", "_tag", F.when(F.col("_text").rlike(HINT), digest(F.col("_text"))).alias("_digest")).join(known, "_digest", "left").select("_id", "_tag", "license")
     joined = whole.join(hits, whole["_id"].eqNullSafe(hits["_i"]) & (whole["_tag"] == hits["_t"]), "left")
     return joined.select(
         F.col("_id").alias(id_col),
