@@ -190,9 +190,9 @@ def quality(
         profile = Profile()
         at_lang = {x: i for i, x in enumerate(profile.langs)}
         for whole in batches:
-            for batch in slices(whole):
-                texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-                lang = np.fromiter((at_lang.get(x, -1) for x in batch.column(len(names) + 1).to_pylist()), np.int64, len(texts))
+            for batch in slices(whole, at_text):
+                texts = [t or "" for t in batch.column(at_text).to_pylist()]
+                lang = np.fromiter((at_lang.get(x, -1) for x in batch.column(at_language).to_pylist()), np.int64, len(texts))
                 rows = np.arange(len(texts))
                 known = lang >= 0
                 m = measure(texts, profile, known)
@@ -205,13 +205,21 @@ def quality(
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, names=[*names, *added])
 
     lang = F.col(tick(lang_col)) if lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.select(*numbered(rest), F.col(tick(text_col)).alias("_text"), lang.alias("_lang")).mapInArrow(run, schema)
-
-
-def slices(batch: pa.RecordBatch, rows: int = 2000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts (the column _text) are together of bounded size, one text at least."""
-    column = batch.column(batch.schema.get_field_index("_text"))
-    size = np.cumsum(np.fromiter((len(x or "") for x in column.to_pylist()), np.int64, len(column)))
+    # The text goes to Python once, as the column that it is.
+    at_text = [x.lower() for x in names].index(text_col.lower())
+    at_language = len(names)
+    return docs.select(*numbered(rest), lang.alias("_lang")).mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, at_text: int | None = None, rows: int = 2000, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts (the column _text, or the one at a place) are together of bounded size, one text at least."""
+    column = batch.column(batch.schema.get_field_index("_text") if at_text is None else at_text)
+    if not len(column):
+        return
+    # The lengths in bytes, from the column's offsets: no text is turned into a Python string before it is cut.
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1]
+    size = offsets[1:].astype(np.int64) - offsets[0]
     at = 0
     while at < len(size):
         before = size[at - 1] if at else 0
