@@ -6,8 +6,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from veilsift.llm import bpe, chat, quality, secrets
@@ -45,6 +48,40 @@ def test_bpe_operator(spark, reference):
     assert bpe.bpe(docs.limit(0), PATH, tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_gives_bounded_batches(spark, monkeypatch):
+    """What goes to the JVM at once doesn't grow with the batch that came."""
+    draw = random.Random(6)
+    text = " ".join("".join(draw.choice("etaoinshr") for _ in range(6)) for _ in range(3000))
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    whole = pa.RecordBatch.from_pydict({"c0": list(range(800)), "_text": [f"{i} {text}" for i in range(800)]})
+    given = list(bpe.bpe(docs, PATH, tokenizers.PATTERN)(iter([whole])))
+    assert [x for b in given for x in b.column(0).to_pylist()] == list(range(800)) and max(b.nbytes for b in given) < 6 << 20
+
+
+def test_workers_give_memory_back():
+    """A kernel's garbage, here many small pieces between larger ones that stay, isn't kept by the worker."""
+    code = """
+import re, sys, numpy as np, pyarrow as pa
+from veilsift.llm import common
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    garbage = [np.ones(1000) for _ in range(20_000)]
+    stays.extend(garbage[::400])
+    yield from batches
+
+stays = []
+before = held()
+kernel = getattr(common, "tidy", lambda f: f)(run)
+assert list(kernel(iter([1, 2]))) == [1, 2]
+sys.exit(held() - before > 60)
+"""
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
 def base_counts(text: str) -> dict:
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))

@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,11 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import ddl, documents, numbered, others, tick
+from veilsift.llm.common import ddl, documents, numbered, others, tick, tidy
+from veilsift.llm.quality import slices
 
 NONE = np.int32(2**31 - 1)
-#: Bytes of text whose distinct words are replayed together.
-SHARD_BYTES = 16 << 20
+#: Bytes of text whose distinct words are replayed together, and about how many of ids and decoded texts are given at once.
+SHARD_BYTES, GIVEN_BYTES = 16 << 20, 4 << 20
 
 RESULT = "n_tokens long, ids binary, decoded binary"
 
@@ -79,8 +82,9 @@ def encode_words(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarr
     begins = np.concatenate(([0], np.cumsum(lengths)))
     n = int(begins[-1])
     token = ranks.single[np.frombuffer(b"".join(words), np.uint8)]
-    word = np.repeat(np.arange(len(words)), lengths)
-    left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
+    # Places fit 32 bits: an Arrow column has less than 2 GB of text.
+    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    left, right = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
     first = begins[:-1][lengths > 0]
     left[first] = -1
     right[begins[1:][lengths > 0] - 1] = -1
@@ -178,23 +182,30 @@ def encode_texts(texts: list[str], ranks: Ranks, pattern: str) -> Iterator[np.nd
     for t in texts:
         if _RAGGED.search(t):
             parts = _BREAK.split(t)
-            rows.append((-1, np.fromiter((pieces[p[1:]] if p[:1] == " " else -1 - heads[p] for p in parts), np.int64, len(parts))))
+            rows.append((-1, np.fromiter((pieces[p[1:]] if p[:1] == " " else -1 - heads[p] for p in parts), np.int32, len(parts))))
         else:
             parts = t.split(" ")
-            rows.append((heads[parts.pop(0)], np.fromiter(map(pieces.__getitem__, parts), np.int64, len(parts))))
+            rows.append((heads[parts.pop(0)], np.fromiter(map(pieces.__getitem__, parts), np.int32, len(parts))))
     words: dict[str, int] = _numbering()
-    parsed = [np.fromiter(map(words.__getitem__, find(p)), np.int64) for p in (*(" " + p for p in pieces), *heads)]
-    ids, starts = encode_words([w.encode() for w in words], ranks)
-    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parsed), np.int64, len(parsed)))))
-    every = np.concatenate(parsed) if parsed else np.zeros(0, np.int64)
+    parsed, bounds = array("i"), array("q", [0])
+    for p in itertools.chain((" " + p for p in pieces), heads):
+        parsed.extend(map(words.__getitem__, find(p)))
+        bounds.append(len(parsed))
+    n_pieces = len(pieces)
+    # What is done with goes before the next large things come.
+    distinct = [w.encode() for w in words]
+    del words, pieces, heads
+    ids, starts = encode_words(distinct, ranks)
+    del distinct
+    every = np.frombuffer(parsed, np.int32) if len(parsed) else np.zeros(0, np.int32)
     ids, ends = _gather(ids, starts[every], np.diff(starts)[every])
-    starts = np.concatenate(([0], ends))[bounds]
+    starts = np.concatenate(([0], ends))[np.frombuffer(bounds, np.int64)]
     length = np.diff(starts)
     for head, row in rows:
         if head >= 0:
-            row = np.concatenate(([len(pieces) + head], row))
+            row = np.concatenate(([n_pieces + head], row))
         else:
-            row = np.where(row < 0, len(pieces) - 1 - row, row)
+            row = np.where(row < 0, n_pieces - 1 - row, row)
         yield _gather(ids, starts[row], length[row])[0]
 
 
@@ -221,19 +232,6 @@ def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def shards(texts: list[str | None], most: int = SHARD_BYTES) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        t = t or ""
-        if part and size + len(t) > most:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 def bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digests: bool = False) -> DataFrame:
     """docs without its text, with n_tokens, ids (little-endian unsigned 32-bit integers) and decoded
     (the bytes the ids stand for); with digests, ids_sha256 and decoded_sha256 in place of the two.
@@ -251,21 +249,22 @@ def bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digest
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_from(path)
         bytes_of = ranks.token.__getitem__
-        for batch in batches:
-            at = 0
-            for part in shards(batch.column(len(rest_names)).to_pylist()):
-                out: dict[str, list] = {c: [] for c in added}
-                for ids in encode_texts(part, ranks, pattern):
+        for whole in batches:
+            for batch in slices(whole, len(rest_names), rows=len(whole), most=SHARD_BYTES):
+                at, held, out = 0, 0, {c: [] for c in added}
+                for end, ids in enumerate(encode_texts([t or "" for t in batch.column(len(rest_names)).to_pylist()], ranks, pattern), 1):
                     decoded = b"".join(map(bytes_of, ids.tolist()))
                     raw = ids.astype("<u4").tobytes()
                     values = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digests else (len(ids), raw, decoded)
                     for c, v in zip(added, values, strict=True):
                         out[c].append(v)
-                kept = batch.slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(rest_names))] + [pa.array(out[c], t) for c, t in added.items()], names=[*rest_names, *added])
+                    held += len(raw) + len(decoded)
+                    if held >= GIVEN_BYTES or end == len(batch):
+                        kept = batch.slice(at, end - at)
+                        yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(rest_names))] + [pa.array(out[c], t) for c, t in added.items()], names=[*rest_names, *added])
+                        at, held, out = end, 0, {c: [] for c in added}
 
-    return docs.select(*numbered(rest), F.col(tick(text_col)).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*numbered(rest), F.col(tick(text_col)).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

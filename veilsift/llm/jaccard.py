@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import discard, documents, materialize, shuffle_partitions
+from veilsift.llm.common import discard, documents, materialize, shuffle_partitions, tidy
 from veilsift.llm.components import components
 from veilsift.llm.quality import slices
 
@@ -348,7 +348,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *named], names=["_id", "_row", "n_shingles", "class", "sketch", "common"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"_id {kind}, _row long, n_shingles long, class binary, sketch binary, common binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(tidy(run), f"_id {kind}, _row long, n_shingles long, class binary, sketch binary, common binary")
 
 
 #: A column that no input has.
@@ -395,7 +395,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, pair
     chosen = classes.select("class", "_row").join(wanted, "class", "left_semi")
     # Which texts are wanted grows with the table: the same join at every size. Repeated rows lie together after it.
     texts = _keyed(docs, id_col, text_col).join(chosen.hint("merge"), "_row").select("_row", "class", "_text").distinct()
-    return texts.select("class", "_text").mapInArrow(right, "class binary, _text string")
+    return texts.select("class", "_text").mapInArrow(tidy(right), "class binary, _text string")
 
 
 def _beside_leaders(pairs: DataFrame, of_classes: DataFrame, *columns: str) -> DataFrame:
@@ -420,7 +420,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
                 near.append(b is not None and a == leader and least_difference(own, x) * (den + num) <= (size + n) * (den - num))
             yield batch.select(["a", "salt", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return _beside_leaders(pairs, classes, "n_shingles", "sketch").mapInArrow(run, "a binary, salt long, b binary")
+    return _beside_leaders(pairs, classes, "n_shingles", "sketch").mapInArrow(tidy(run), "a binary, salt long, b binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -444,7 +444,7 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -
                         found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return _beside_leaders(pairs, texts, "_text").mapInArrow(run, "a binary, b binary")
+    return _beside_leaders(pairs, texts, "_text").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def joining_links(sets: list[np.ndarray], comps: list, part: list[int], num: int, den: int) -> list[tuple[int, int]]:
@@ -513,7 +513,7 @@ def _candidates(docs: DataFrame, text_col: str, classes: DataFrame, common: np.n
     # A row for each quarter more in size: some dozens, however large the table.
     sizes = classes.groupBy(F.floor(F.log(1.25, "n_shingles")).alias("size")).agg(F.sum("n_shingles")).collect()
     pids, n_pids = pids_of_bands({int(1.25 ** (size + 0.5)): n for size, n in sizes}, Bands(num, den), shuffle_partitions(docs.sparkSession))
-    sent = docs.select(F.col(f"`{text_col}`").alias("_text")).mapInArrow(_send(pids, words, num, den, common), SENT)
+    sent = docs.select(F.col(f"`{text_col}`").alias("_text")).mapInArrow(tidy(_send(pids, words, num, den, common)), SENT)
     pairs = sent.repartition(n_pids, "pid").groupBy("pid").applyInArrow(_meet, FOUND).groupBy("a", "b").agg(F.max("n").alias("n"))
     return materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.floor(F.col("n") / STAR_ROWS)))), "pairs")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import ddl, discard, documents, materialize, numbered, others, tick
+from veilsift.llm.common import ddl, discard, documents, materialize, numbered, others, tick, tidy
 from veilsift.llm.quality import slices
 
 #: A run of fewer words is no passage; it may come again in any text.
@@ -76,7 +76,7 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     is inside it. The first occurrence in an interval, by id and place, stays; the others are the result.
     """
     kind = rows.schema["_id"].dataType.simpleString()
-    lines = rows.select("_id", "_tag", "_text").mapInArrow(_sequence(min_words), LINES.format(id=kind))
+    lines = rows.select("_id", "_tag", "_text").mapInArrow(tidy(_sequence(min_words)), LINES.format(id=kind))
     used = [lines := materialize(lines, "lines")]
     alive = lines.select("_id", "_tag", "pos", F.col("line").alias("x"), F.lit(None).cast("long").alias("y"), "lengths")
     later: DataFrame | None = None
@@ -160,7 +160,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, names=[*names, text_col, *added])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import ddl, documents, numbered, others, tick
+from veilsift.llm.common import ddl, documents, numbered, others, tick, tidy
 
 # The commonest words of four languages with their usual shares of running text.
 COMMON_WORDS = {
@@ -208,7 +208,7 @@ def quality(
     # The text goes to Python once, as the column that it is.
     at_text = [x.lower() for x in names].index(text_col.lower())
     at_language = len(names)
-    return docs.select(*numbered(rest), lang.alias("_lang")).mapInArrow(run, schema)
+    return docs.select(*numbered(rest), lang.alias("_lang")).mapInArrow(tidy(run), schema)
 
 
 def slices(batch: pa.RecordBatch, at_text: int | None = None, rows: int = 2000, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
