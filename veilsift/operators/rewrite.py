@@ -67,7 +67,7 @@ def diff_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df with findings: what a plain tag strip reads, instructs, and isn't among the visible text."""
     visible = F.when(F.col("_page.ok"), F.col("_page.visible")).otherwise("")
     found = F.filter(ingestion_diff(visible, F.col("_page.plain")), lambda f: f["severity"] == "high")
-    return D.with_parsed(df, html_col).withColumn("findings", found).drop("_html", "_page")
+    return D.with_parsed(df, html_col, ("ok", "visible", "plain")).withColumn("findings", found).drop("_html", "_page")
 
 
 def sentences(text: Column) -> Column:
@@ -79,7 +79,7 @@ def sanitize(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df with label, score, removed, cleaned_text and safe_prompt: the text that a person sees, without invisible
     characters, look-alikes and sentences that instruct, framed as data."""
     page = F.col("_page")
-    out = reduced(D.with_parsed(df, html_col), F.concat(*D.stages(F.col("_html"), page)))
+    out = reduced(D.with_parsed(df, html_col, (*D.READ, "bare", "stripped")), F.concat(*D.stages(F.col("_html"), page)))
     hidden = F.filter(F.transform(page["tokens"], lambda t: F.struct(t.alias("t"), P.is_keyword(t["text"]).alias("hit"))), lambda x: (x["t"]["kind"] == "hidden") | ((x["t"]["kind"] == "form") & x["hit"]))
     reason = lambda t: F.when(t["kind"] == "form", "hidden:hidden_form_field").when(t["sr"], "hidden:sr_only_text").otherwise("hidden:css_hidden_text")
     said = lambda t: F.left(F.when(t["kind"] == "form", F.concat(t["name"], F.lit("="), t["text"])).otherwise(t["text"]), F.lit(200))

@@ -102,7 +102,7 @@ def hex_hits(spark, sf_dir):
 
 
 def _of_kind(spark, sf_dir, kind: str) -> DataFrame:
-    tokens = D.with_parsed(seeded_pages(spark, sf_dir)).select("page_id", F.inline("_page.tokens"))
+    tokens = D.with_parsed(seeded_pages(spark, sf_dir), fields=("tokens",)).select("page_id", F.inline("_page.tokens"))
     return tokens.where((F.col("kind") == kind) & P.is_keyword(F.col("text")))
 
 
@@ -118,7 +118,7 @@ def attribute_hits(spark, sf_dir):
 
 @query(f"WITH {SEEDED_SQL} SELECT page_id, c AS content FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<meta[^>]+content=\"(.*?)\"', 1)) AS c FROM seeded) WHERE regexp_matches(c, {_Q(KEYWORD_RE2)}) OR regexp_matches(c, {_Q(SEMANTIC_RE2)})")
 def meta_hits(spark, sf_dir):
-    rows = D.with_parsed(seeded_pages(spark, sf_dir)).select("page_id", F.explode("_page.metas").alias("content"))
+    rows = D.with_parsed(seeded_pages(spark, sf_dir), fields=("metas",)).select("page_id", F.explode("_page.metas").alias("content"))
     return rows.where(P.is_instruction(F.col("content")))
 
 
