@@ -97,6 +97,7 @@ def script_spans() -> dict[str, list[tuple[int, int]]]:
 
 #: From the first sign named Greek on; no invisible character and no letter of the other scripts lies before.
 BEYOND_LATIN = r"[\x{342}-\x{10FFFF}]"
+UP_TO_LATIN = r"[\x{0}-\x{341}]+"
 
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 
